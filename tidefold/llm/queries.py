@@ -7,12 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import packing, quality, sharding, substrings, tokenfiles
-from tidefold.llm.common import table
+from tidefold.llm import chat, decontam, licenses, lines, packing, quality, sharding, simhash, substrings, tokenfiles
+from tidefold.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = "conv_id long, turn long, role string, text string"
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    talks = table(spark, sf_dir, "conversations").selectExpr(*[f"cast({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in columns.split(", ")])
+    return chat.read_back(written(chat.formatted(chat.as_replies(talks.unionByName(extra))), "chat"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -32,6 +53,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.clustered(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -65,10 +90,15 @@ FROM f
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_chat": op1_chat,
+    "op2_licenses": op2_licenses,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 
