@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tidefold.queries import analytics, folds, reads  # noqa: F401  they register their queries
+from tidefold.queries.base import ORACLE, QUERIES  # noqa: F401
