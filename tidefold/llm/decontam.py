@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidefold.llm.common import written
+
 #: The masks: 1 keeps a word's hash, 0 ignores it. Together they meet every window of WINDOW words, or every
 #: shorter text of MIN_WORDS words or more, that has no more substitutions than `tolerated` says.
 MASKS = ("111011", "11111")
@@ -13,6 +15,9 @@ WINDOW, MIN_WORDS = 13, 8
 #: Seeds that are broadcast at once; a larger benchmark is searched in blocks.
 BLOCK_SEEDS = 100_000
 
+#: Words of a document that are searched at once, and those before and after them that a window may reach.
+SEGMENT, BEFORE, AFTER = 4096, 16, 24
+
 
 def tolerated(window: int) -> int:
     """Substitutions that a window may have."""
@@ -62,7 +67,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     once; a hit in a long text costs as much as one in a short text.
     """
     texts = items.select(F.col(item_col).alias("item"), tokens(F.col(item_text_col)).alias("words")).groupBy("words").agg(F.min("item").alias("item"))
-    table = seeds(texts, masks).persist()
+    table = written(seeds(texts, masks), "seeds")
     n_seeds = table.count()
     blocks = max(1, -(-n_seeds // BLOCK_SEEDS))
     n_masks = len(masks)
@@ -70,21 +75,28 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     for block in range(blocks):
         part = table.where(F.pmod(F.xxhash64("item", "seed"), F.lit(blocks)) == block)
         rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words"))
-        rows = rows.where(F.size("words") >= MIN_WORDS)
-        rows = rows.select("doc_id", "words", F.explode(F.sequence(F.lit(0), n_masks * F.size("words") - 1)).alias("__i"))
-        rows = rows.select("doc_id", "words", F.expr(f"__i div {n_masks}").cast("int").alias("__p"), F.expr(f"__i % {n_masks}").alias("__k"))
+        count = F.size("words")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / SEGMENT).cast("int")), lambda k: F.slice("words", F.greatest(F.lit(1), k * SEGMENT + 1 - BEFORE), SEGMENT + BEFORE + AFTER))
+        # From here to the join, rows stay within one generated loop: nothing of a segment is copied for its places.
+        # The outer forms, for the others make Spark compute what they explode once more, in a filter.
+        rows = rows.select("doc_id", cut.alias("cut")).select("doc_id", F.explode_outer("cut").alias("seg"))
+        rows = rows.select("doc_id", "seg", F.explode_outer(F.sequence(F.lit(0), n_masks * F.size("seg") - 1)).alias("__i"))
+        rows = rows.select("doc_id", "seg", F.expr(f"__i div {n_masks}").cast("int").alias("__p"), F.expr(f"__i % {n_masks}").alias("__k"))
         span, seed = None, None
         for k, mask in enumerate(masks):
             here = F.col("__k") == k
             span = F.when(here, len(mask)) if span is None else span.when(here, len(mask))
-            value = _seed("words", F.col("__p"), mask, k)
+            value = _seed("seg", F.col("__p"), mask, k)
             seed = F.when(here, value) if seed is None else seed.when(here, value)
-        rows = rows.where(F.col("__p") + span <= F.size("words")).select("doc_id", "words", "__p", seed.alias("seed"))
+        rows = rows.where(F.col("__p") + span <= F.size("seg")).select("doc_id", "seg", "__p", seed.alias("seed"))
         hits = rows.join(F.broadcast(part), "seed")
-        aligned = F.transform("around", lambda x, j: F.when(F.coalesce(F.xxhash64(F.when(F.col("__p") - F.col("lead") + j >= 0, F.get("words", F.col("__p") - F.col("lead") + j))) == x, F.lit(False)), 1).otherwise(0))
-        hits = hits.select("doc_id", "item", "window", aligned.alias("__eq"))
+        # A hit takes along the words that `around` stands for, those that there are.
+        begin = F.greatest(F.col("__p") - F.col("lead"), F.lit(0))
+        skip = begin - (F.col("__p") - F.col("lead"))
+        hits = hits.select("doc_id", "item", "window", "around", skip.alias("skip"), F.slice("seg", begin + 1, F.size("around") - skip).alias("here"))
+        same = F.transform("around", lambda x, j: F.when(F.coalesce((j >= F.col("skip")) & (F.xxhash64(F.get("here", j - F.col("skip"))) == x), F.lit(False)), 1).otherwise(0))
         need = F.col("window") - F.when(F.col("window") >= 12, 2).otherwise(1)
-        good = F.exists(F.sequence(F.lit(1), F.size("__eq") - F.col("window") + 1), lambda s: F.aggregate(F.slice("__eq", s, F.col("window")), F.lit(0), lambda a, x: a + x) >= need)
-        hits = hits.where(good).select("doc_id", F.col("item").alias("item_id"))
+        good = F.exists(F.sequence(F.lit(1), F.size("around") - F.col("window") + 1), lambda s: F.aggregate(F.slice(same, s, F.col("window")), F.lit(0), lambda a, x: a + x) >= need)
+        hits = hits.groupBy("doc_id", F.col("item").alias("item_id")).agg(F.bool_or(good).alias("good")).where("good").select("doc_id", "item_id")
         found = hits if found is None else found.unionByName(hits)
-    return found.distinct()
+    return found.distinct() if blocks > 1 else found
