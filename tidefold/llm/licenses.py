@@ -96,16 +96,16 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines, blocks = F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n")
     several = lambda x: F.when(F.size(x) > 1, x).otherwise(F.array().cast("array<string>"))
-    units = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.concat(F.array(text), several(lines), several(blocks))).alias("unit", "__u"))
+    units = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.concat(F.array(text), several(lines), several(blocks))).alias("unit", "__u"))
     # Words are parted by one character at least, so short units go before they are normalised.
     units = units.where(F.length("__u") >= 2 * min(lo for lo, _ in ranges) + 1)
     units = units.select("doc_id", "unit", F.split(normalised(F.col("__u")), " ").alias("__w")).withColumn("__n", F.size("__w") - 1)
     fits = F.lit(False)
     for lo, hi in sorted(set(ranges)):
         fits = fits | F.col("__n").between(lo, hi)
-    units = units.where(fits & (F.col("__n") > 0))
-    pairs = units.select("doc_id", "unit", "__n", "__w", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i"))
-    pairs = pairs.select("doc_id", "unit", "__n", F.xxhash64(F.get("__w", F.col("__i") - 1), F.get("__w", F.col("__i"))).alias("__g"))
+    hashes = F.transform(F.sequence(F.lit(1), F.col("__n")), lambda i: F.xxhash64(F.get("__w", i - 1), F.get("__w", i)))
+    # No filter here, and the outer explode: Spark would push either below, and normalise each text again for each bound.
+    pairs = units.select("doc_id", "unit", "__n", F.when(fits & (F.col("__n") > 0), hashes).alias("__gs")).select("doc_id", "unit", "__n", F.explode_outer("__gs").alias("__g"))
     near = (F.lit(threshold) * (F.col("__n") + F.col("__size"))) <= 2 * F.least("__n", "__size")
     hits = pairs.join(F.broadcast(grams), "__g").where(near)
     counted = hits.groupBy("doc_id", "unit", "template", "__n", "__size", "__g", "__of").agg(F.count(F.lit(1)).alias("__c"))
