@@ -66,6 +66,16 @@ def words(text: Column) -> Column:
     return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, SPACE_RUN))
 
 
+def where_late(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows that a condition holds for, filtered where it stands.
+
+    A plain filter is pushed below the projections it needs and their expressions are written into it, also into
+    lambdas, which would then do for each element what was meant to be done once for a row.
+    """
+    flagged = df.select("*", F.explode_outer(F.when(condition, F.array(F.lit(True)))).alias("__keep"))
+    return flagged.where("__keep is not null").drop("__keep")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, broadcast if a count shows it within `rows`; beyond that its joins shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

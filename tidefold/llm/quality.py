@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import words
+from tidefold.llm.common import where_late, words
 
 #: Rows of the sample on which costs and selectivities are estimated, and the hash share it is drawn from.
 SAMPLE_ROWS = 2_000
@@ -106,7 +106,7 @@ def filtered(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     """The rows that no rule rejects. Null and empty texts have no words, so `few_words` rejects them."""
     order = ordered(profiled(df, text_col, rules, sample_rows))
     base = base_failed(with_base(df, text_col, "__q"), "__q")
-    return base.where(~F.col("__q_failed") & cascade(order, text_col).isNull()).select(*[F.col(c) for c in df.columns])
+    return where_late(base, ~F.col("__q_failed") & cascade(order, text_col).isNull()).select(*[F.col(c) for c in df.columns])
 
 
 def with_base(df: DataFrame, text: str, at: str) -> DataFrame:
