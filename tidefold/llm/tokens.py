@@ -7,11 +7,17 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept in each of a worker's two generations of its cache, and the longest piece kept.
-CACHE_PIECES, CACHE_CHARS = 200_000, 48
+#: Pieces that a worker's cache holds, and the longest piece kept. The first half, in which the common ones are, stays.
+CACHE_PIECES, CACHE_CHARS = 1_000_000, 48
+
+#: Put between pieces to split them; a text that holds it is encoded as it is.
+CUT = "\x01"
 
 #: Texts encoded together hold at most so many characters, unless one text alone does.
 BATCH_CHARS = 2_000_000
@@ -49,48 +55,69 @@ class Encoder:
             and model.get("type") == "BPE"
             and not model.get("dropout")
         )
-        special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.whole = re.compile("|".join([r"\s\s|^\s|\s$", *special]))
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.by_piece = self.by_piece and not any(re.search(r"\s", t) for t in self.special)
+        self.odd_space = re.compile(r"[^\S \n]")
+        self.held: dict[str, bytes] = {}
+        self.marks = dict(zip(".,;:!?", self._raw(list(".,;:!?")), strict=True))
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.bytes_of[k] = len(token)  # a byte-level token has a character a byte
 
     def _raw(self, texts: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
+    def _whole(self, text: str) -> bool:
+        """Whether a text is encoded as it is."""
+        runs = ("  ", "\n\n", " \n", "\n ", CUT, *self.special)
+        return not self.by_piece or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in runs) or bool(self.odd_space.search(text))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str]] = []
-        for text in texts:
-            if not text:
-                cut.append([])
-            elif not self.by_piece or self.whole.search(text):
-                cut.append([text])
-            else:
-                pieces: list[str] = []
-                for k, line in enumerate(text.split("\n")):
-                    if k:
-                        pieces.append("\n")
-                    first, *rest = line.split(" ")
-                    pieces.append(first)
-                    pieces += [f" {w}" for w in rest]
-                cut.append(pieces)
-        known: dict[str, bytes] = {}
-        missing = []
-        for piece in set().union(*cut):
-            ids = self.new.get(piece)
-            if ids is None and (ids := self.old.get(piece)) is not None:
-                self.new[piece] = ids
-            if ids is None:
-                missing.append(piece)
-            else:
-                known[piece] = ids
-        for piece, ids in zip(missing, self._raw(missing), strict=True):
-            known[piece] = ids
-            if len(piece) <= CACHE_CHARS:
-                self.new[piece] = ids
-        if len(self.new) > CACHE_PIECES:
-            self.old, self.new = self.new, {}
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        alone = [k for k, t in enumerate(texts) if t and self._whole(t)]
+        out = dict(zip(alone, self._raw([texts[k] for k in alone]), strict=True)) if alone else {}
+        cut = [t.replace("\n", f"{CUT}\n{CUT}").replace(" ", f"{CUT} ").split(CUT) if t and k not in out else [] for k, t in enumerate(texts)]
+        held = self.held
+        missing = list(set().union(*cut).difference(held))
+        if missing:
+            self._learn(missing)
+        done = [out[k] if k in out else b"".join(map(held.__getitem__, pieces)) for k, pieces in enumerate(cut)]
+        for piece in missing:
+            if len(piece) > CACHE_CHARS:
+                del held[piece]
+        if len(held) > CACHE_PIECES:
+            self.held = dict(islice(held.items(), CACHE_PIECES // 2))
+        return done
+
+    def _learn(self, missing: list[str]) -> None:
+        """Encodes pieces into the cache. A mark after letters is a cut of its own, so its word needs encoding once."""
+        held, marks = self.held, self.marks
+        marked = [p for p in missing if p[-1] in marks and p[0] == " " and p[1:-1].isalpha()]
+        words = set(missing).difference(marked)
+        words.update(w for p in marked if (w := p[:-1]) not in held)
+        plain = list(words)
+        held.update(zip(plain, self._pieces(plain), strict=True))
+        held.update((p, held[p[:-1]] + marks[p[-1]]) for p in marked)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, encoded in one run: they are told apart by the bytes that each id stands for."""
+        if not pieces:
+            return []
+        spaced = [p if p[0] in " \n" else f"\n{p}" for p in pieces]
+        joined = "".join(spaced)
+        ids = np.frombuffer(next(self._raw([joined])), "<u4")
+        ends = np.cumsum(self.bytes_of[ids])
+        text = np.frombuffer(joined.encode(), np.uint8)
+        want = np.append(np.flatnonzero((text == 32) | (text == 10))[1:], len(text))  # no piece has a space or a line feed but its first
+        cuts = np.searchsorted(ends, want)
+        if len(want) != len(pieces) or not len(ends) or ends[-1] != want[-1] or (ends[cuts] != want).any():
+            return list(self._raw(pieces))
+        data, out, begin = ids.tobytes(), [], 0
+        for p, s, end in zip(pieces, spaced, (4 * cuts + 4).tolist(), strict=True):
+            out.append(data[begin if s is p else begin + 4 : end])  # a line feed put before it is an id of its own
+            begin = end
+        return out
 
 
 def encoder(path: str) -> Encoder:
