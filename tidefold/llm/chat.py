@@ -54,12 +54,16 @@ def leaf_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """
     nodes = messages.select(_node("tree", "id").alias("node"), F.when(F.col("parent").isNotNull(), _node("tree", "parent")).alias("to"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("n"))
     present = nodes.select(F.col("node").alias("to"), F.lit(True).alias("__there"))
-    step = nodes.join(present, "to", "left").select("node", F.when(F.col("__there"), F.col("to")).alias("to"), "total", "n")
+    linked = nodes.where("to is not null").join(present, "to", "left").select("node", F.when(F.col("__there"), F.col("to")).alias("to"), "total", "n")
+    step = linked.unionByName(nodes.where("to is null").select("node", "to", "total", "n"))
     steps = [written(step, "steps")]
     most = steps[0].count()
     while (1 << (len(steps) - 1)) <= most and not steps[-1].where("to is not null").isEmpty():
         up = steps[-1].select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("total").alias("__total"), F.col("n").alias("__n"))
-        longer = steps[-1].join(up, "to", "left").select("node", F.col("__to").alias("to"), (F.col("total") + F.coalesce("__total", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("__n", F.lit(0))).alias("n"))
+        # Nodes that have reached their root are done; only the others are joined.
+        done, going = steps[-1].where("to is null"), steps[-1].where("to is not null")
+        longer = going.join(up, "to", "left").select("node", F.col("__to").alias("to"), (F.col("total") + F.coalesce("__total", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("__n", F.lit(0))).alias("n"))
+        longer = longer.unionByName(done)
         steps.append(written(longer, "steps"))
     whole = steps[-1].where("to is null")
     parents = steps[0].where("to is not null").select(F.col("to").alias("node")).distinct()
