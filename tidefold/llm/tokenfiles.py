@@ -39,7 +39,7 @@ FRAME_IDS, FILE_BYTES, READ_BYTES = 1 << 20, 64 << 20, 8 << 20
 class Writer:
     """Writes documents in the order they come; `close` ends the file and returns (documents, ids)."""
 
-    def __init__(self, out, level: int = 3):
+    def __init__(self, out, level: int = 1):
         self.out, self.entries, self.docs = out, [], []
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
 
