@@ -13,15 +13,15 @@ MIN_EDIT_WORDS = 10
 #: Variants' kinds: the line as it is, less one word, and less one word at a known place.
 WHOLE, SHORTER, MASKED = 0, 1, 2
 
-#: Sums of pair hashes stay below this.
-LOW, RING = (1 << 40) - 1, (1 << 60) - 1
+#: Bits of a word's hash at a place: sums of them stay within 64 bits for lines of up to 2^27 words.
+LOW = (1 << 36) - 1
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, th (hash of the text), line_no, line: every line, blank ones too."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("__t"))
-    return rows.select("doc_id", "th", F.posexplode(F.split("__t", "\n")).alias("line_no", "line"))
+    return rows.select("doc_id", "th", F.posexplode_outer(F.split("__t", "\n")).alias("line_no", "line"))
 
 
 def _halves(w: str, n: Column) -> list[Column]:
@@ -36,35 +36,37 @@ def _halves(w: str, n: Column) -> list[Column]:
     return out
 
 
-def _pair(w: str, a: Column, b: Column) -> Column:
-    """The hash of two neighbours; the ends of a line are null."""
-    word = lambda i: F.when(i >= 0, F.get(F.col(w), i))
-    return F.xxhash64(F.coalesce(word(a), F.lit("\n")), F.coalesce(word(b), F.lit("\n"))).bitwiseAND(F.lit(LOW))
-
-
 def _variants(lines: DataFrame) -> DataFrame:
     """key, line, kind: the hashed deletion neighbourhood of lines (line, n, w, halves), cut to the halves that matched.
 
-    A line's hash is the sum of its neighbours' hashes, so leaving out a word changes three terms, whatever the
-    line's length. What it confuses (equal neighbours in another order) the verification tells apart.
+    A sequence's hash is a pair of sums over its words' hashes at their places. Running sums of them, at the words' own places and
+    one place earlier, give the hash less any word at once; so a line costs a row for each word, whatever its length.
     """
-    total = F.aggregate(F.sequence(F.lit(0), F.col("n")), F.lit(0).cast("long"), lambda a, i: (a + _pair("w", i - 1, i)).bitwiseAND(F.lit(RING)))
-    rows = lines.select("line", "n", "w", "halves", total.alias("__t"))
+    rows = lines.select("line", "n", "halves", F.posexplode_outer("w").alias("i", "__w")).select("line", "n", "halves", "i", F.xxhash64("__w").alias("__h"))
+    at, all_ = Window.partitionBy("line").orderBy("i").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("line")
+    i, n = F.col("i"), F.col("n")
+    less, without, whole = [], [], []
+    for seed in (1, 2):
+        here = F.xxhash64(F.lit(seed), i, "__h").bitwiseAND(F.lit(LOW))
+        moved = F.xxhash64(F.lit(seed), i - 1, "__h").bitwiseAND(F.lit(LOW))
+        before = F.coalesce(F.sum(here).over(at), F.lit(0))
+        after = F.sum(moved).over(all_) - F.coalesce(F.sum(moved).over(at), F.lit(0)) - moved
+        whole.append(F.sum(here).over(all_).alias(f"__w{seed}"))
+        less.append((before + after).alias(f"__l{seed}"))
+        without.append(here.alias(f"__x{seed}"))
+    rows = rows.select("line", "n", "halves", "i", *whole, *less, *without)
     matched = lambda k: F.col("halves").bitwiseAND(F.lit(1 << k)) != 0
     # A match in the first half leaves the edit to the second, and the other way about.
-    half, less = F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) / 2)
-    i = F.col("__i")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("__i"))
-    rest = F.col("__t") - _pair("w", i - 1, i) - _pair("w", i, i + 1) + _pair("w", i - 1, i + 1) + F.lit(RING + 1)
-    rest = rest.bitwiseAND(F.lit(RING))
-    masked = (matched(0) & (i >= half)) | (matched(1) & (i < F.col("n") - half))
-    shorter = (matched(2) & (i >= less)) | (matched(3) & (i < F.col("n") - less))
+    half, under = F.floor(n / 2), F.floor((n - 1) / 2)
+    masked = (matched(0) & (i >= half)) | (matched(1) & (i < n - half))
+    shorter = (matched(2) & (i >= under)) | (matched(3) & (i < n - under))
+    variant = lambda when, kind, *key: F.when(when, F.struct(F.xxhash64(*key).alias("key"), F.lit(kind).alias("kind")))
     made = F.array(
-        F.when((i < 0) & (matched(0) | matched(1)), F.struct(F.xxhash64(F.lit(0), F.col("n"), "__t").alias("key"), F.lit(WHOLE).alias("kind"))),
-        F.when((i >= 0) & shorter, F.struct(F.xxhash64(F.lit(0), F.col("n") - 1, rest).alias("key"), F.lit(SHORTER).alias("kind"))),
-        F.when((i >= 0) & masked, F.struct(F.xxhash64(F.lit(1), F.col("n"), i, rest).alias("key"), F.lit(MASKED).alias("kind"))),
+        variant((i == 0) & (matched(0) | matched(1)), WHOLE, F.lit(0), n, "__w1", "__w2"),
+        variant(shorter, SHORTER, F.lit(0), n - 1, "__l1", "__l2"),
+        variant(masked, MASKED, F.lit(1), n, i, F.col("__w1") - F.col("__x1"), F.col("__w2") - F.col("__x2")),
     )
-    out = rows.select("line", F.explode(made).alias("v")).where("v is not null")
+    out = rows.select("line", F.explode_outer(made).alias("v")).where("v is not null")
     return out.select("v.key", "line", "v.kind")
 
 
@@ -141,4 +143,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = lines.withColumn("__marks", F.when(~F.col("__all"), F.sort_array(F.concat(F.transform("__keep", lambda k: F.struct(k.alias("k"), F.lit(0).alias("z"), F.lit("").alias("l"))), F.transform("__lines", lambda x, k: F.struct(k.alias("k"), F.lit(1).alias("z"), x.alias("l")))))))
     stays = lambda x, j: (x["z"] == 1) & (blank(x["l"]) | ((j > 0) & (F.get(F.col("__marks"), j - 1)["z"] == 0)))
     rest = F.array_join(F.transform(F.filter("__marks", stays), lambda x: x["l"]), "\n")
-    return lines.withColumn("n_lines", F.col("__n").cast("long")).withColumn("n_removed", (F.col("__n") - F.size("__keep")).cast("long")).withColumn("kept_text", F.when(F.col("__all"), text).otherwise(rest)).drop("__th", "__d", "__h", "__keep", "__lines", "__n", "__all", "__marks")
+    out = F.struct(F.col("__n").cast("long").alias("n_lines"), (F.col("__n") - F.size("__keep")).cast("long").alias("n_removed"), F.when(F.col("__all"), text).otherwise(rest).alias("kept_text"))
+    # Through an explode of one, which filters on the result aren't pushed below, into the lambdas above.
+    held = [F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")]
+    return lines.select(*held, F.explode_outer(F.array(out)).alias("__out")).select(*held, "__out.*")

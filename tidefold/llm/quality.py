@@ -131,13 +131,16 @@ def with_base(df: DataFrame, text: str, at: str) -> DataFrame:
     out = out.withColumn(p, F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i, i - 1) | same(x, i, i + 1)), lambda x: x["i"])))
     gap = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(F.col(p), i + 1) - x, F.lit(3))))
     covered = F.aggregate(gap, F.lit(0), lambda a, x: a + x)
-    out = out.withColumn(f"{at}_n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return (
-        out.withColumn(f"{at}_word_chars", word_chars(text).cast("long"))
-        .withColumn(f"{at}_n_symbols", n_symbols(text).cast("long"))
-        .withColumn(f"{at}_n_dup_lines", n_dup_lines(text).cast("long"))
-        .drop(w, h, s, p)
+    stats = F.struct(
+        F.col(f"{at}_n_words").alias("n_words"),
+        word_chars(text).cast("long").alias("word_chars"),
+        n_symbols(text).cast("long").alias("n_symbols"),
+        n_dup_lines(text).cast("long").alias("n_dup_lines"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # Through an explode of one, which filters aren't pushed below: they would put the sort above into its own lambdas.
+    out = out.select(*[F.col(c) for c in df.columns], F.explode_outer(F.array(stats)).alias(f"{at}_st"))
+    return out.select(*[F.col(c) for c in df.columns], *[F.col(f"{at}_st.{c}").alias(f"{at}_{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 
 
 def base_failed(df: DataFrame, at: str) -> DataFrame:

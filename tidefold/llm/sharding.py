@@ -23,10 +23,11 @@ def sharded(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: str
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
+    df = df.drop("shard", "slot")
     n = df.count()
     bits = ranking.bucket_bits(n)
     spread = 1 << bits
-    rows = df.drop("shard", "slot").select(
+    rows = df.select(
         "*",
         F.col(source_col).alias("__src"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("__h"),
@@ -38,8 +39,7 @@ def sharded(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: str
     rows = rows.withColumn("__f", F.least(F.floor(F.col("__at") * spread), F.lit(spread - 1)).cast("int"))
     order = [F.col("__at"), F.xxhash64("__src"), F.col("__src"), F.col("__r")]
     rows = ranking.ranked(rows, [], "__f", order, "__p", "__all")
-    shard = F.floor(F.col("__p") * shards / F.col("__all"))
-    # Exact in integers: the shard s begins at ceil(s * all / shards).
+    # In integers: the shard s begins at ceil(s * all / shards).
     shard = F.expr(f"(__p * {shards}L) div __all").cast("int")
     start = F.expr(f"(((__p * {shards}L) div __all) * __all + {shards - 1}L) div {shards}L")
     return rows.withColumn("shard", shard).withColumn("slot", (F.col("__p") - start).cast("long")).drop("__src", "__h", "__b", "__r", "__of", "__at", "__f", "__p", "__all")
