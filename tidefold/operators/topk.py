@@ -52,5 +52,5 @@ def get_above(board: DataFrame, value: int) -> DataFrame:
 def with_threshold(board: DataFrame, candidates: DataFrame, by: list[str], k: int = K) -> DataFrame:
     """`candidates` with `replicate`: whether each could enter the board, so must leave its replica."""
     floor = board.groupBy(*by).agg(F.min("score").alias("__floor"), F.count(F.lit(1)).alias("__n"))
-    out = candidates.join(F.broadcast(floor), by, "left") if by else candidates.crossJoin(F.broadcast(floor))
+    out = candidates.join(floor, by, "left") if by else candidates.crossJoin(F.broadcast(floor))  # without groups, one row
     return out.withColumn("replicate", F.col("__n").isNull() | (F.col("__n") < k) | (F.col("score") >= F.col("__floor"))).drop("__floor", "__n")

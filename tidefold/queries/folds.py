@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidefold.functions import clocks, values
 from tidefold.operators import arrays, counters, ordered, sets, topk
-from tidefold.plans.transactions import Transaction, as_of
+from tidefold.plans.transactions import Transaction, as_of, read_objects
 from tidefold.queries.base import query
 from tidefold.sources import eventlog as log
+from tidefold.sources import tables as store
+from tidefold.sources.scratch import scratch
 
 OPS = """ops AS (SELECT *, event_id % 3 AS replica, event_id // 3 + 1 AS op_ts, (event_id + 1) % 3 AS other FROM events),
 cl AS (SELECT *, CASE WHEN replica = 0 THEN op_ts WHEN other = 0 AND op_ts > 2 THEN op_ts - 2 ELSE 0 END AS c0,
@@ -420,3 +422,48 @@ def packed_order(t):
 @query("SELECT event_id FROM events WHERE regexp_full_match(event_type, 'c.*|.*up')")
 def key_pattern(t):
     return t("events").where(values.matches(F.col("event_type"), "c.*|.*up")).select("event_id")
+
+
+def _objects(t):
+    """Counters as objects: key = user, bucket by user."""
+    ops = log.counters(t("events"))
+    bucket = F.concat(F.lit("R"), (F.col("key") % 5).cast("string"))
+    return ops.select(F.col("key").cast("string").alias("key"), F.lit("COUNTER").alias("crdt_type"), bucket.alias("bucket"), "op", "long_val", "dbl_val", "replica", "ts", "clk")
+
+
+OBJECTS = f"SELECT user_id::VARCHAR AS key, 'COUNTER' AS crdt_type, 'R' || user_id % 5 AS bucket, sum({SIGN})::BIGINT AS value FROM events GROUP BY user_id"
+
+
+@query(f"SELECT * FROM ({OBJECTS}) WHERE key IN ('1', '7', '12') AND bucket IN ('R1', 'R2')")
+def static_read(t):
+    """Several objects of one snapshot; one asked for in a bucket that doesn't hold it."""
+    keys = [("1", "COUNTER", "R1"), ("7", "COUNTER", "R2"), ("12", "COUNTER", "R2"), ("1", "COUNTER", "R3")]
+    return read_objects(_objects(t), keys, counters.counter)
+
+
+@query("SELECT event_id // 3 + 1 AS ts, (event_id % 3)::SMALLINT AS replica FROM events WHERE user_id = 7")
+def raw_object(t):
+    return _objects(t).where("key = '7' AND crdt_type = 'COUNTER' AND bucket = 'R2'").select("ts", "replica")
+
+
+@query(f"SELECT * FROM ({OBJECTS}) WHERE bucket IN ('R1', 'R4')")
+def bucket_read(t):
+    """A log written by bucket and read back from two of its folders."""
+    ops = _objects(t)
+    path = scratch(ops.sparkSession, "log")
+    store.append_ops(ops, path)
+    return counters.counter(store.read_ops(ops.sparkSession, path, ["R1", "R4"]))
+
+
+@query(f"SELECT * FROM ({OBJECTS}) WHERE bucket = 'R3'")
+def snapshot_import(t):
+    """A joining server's copy of one bucket's states."""
+    state = counters.counter(_objects(t))
+    path = scratch(state.sparkSession, "state")
+    store.export_state(state, path)
+    return store.import_state(state.sparkSession, path, ["R3"]).select(*state.columns)
+
+
+@query("SELECT event_id, least(greatest(value, 20.0), 80.0) AS v, to_json({'k': event_type}) AS shown FROM events")
+def value_functions(t):
+    return t("events").select("event_id", values.bounded(F.col("value"), F.lit(20.0), F.lit(80.0)).alias("v"), values.shown(F.struct(F.col("event_type").alias("k"))).alias("shown"))
