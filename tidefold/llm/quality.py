@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import where_late, words
+from tidefold.llm.common import SPACE, where_late, words
 
 #: Rows of the sample on which costs and selectivities are estimated, and the hash share it is drawn from.
 SAMPLE_ROWS = 2_000
@@ -16,52 +17,66 @@ SAMPLE_ROWS = 2_000
 SYMBOLS = "#*$%&|<>"
 
 
-@dataclass(frozen=True)
-class Rule:
-    """A document that `rejects` is true for goes. `rejects` takes the name of the text column."""
+class Measures:
+    """What rules measure of a text, computed from the text column."""
 
-    name: str
-    rejects: object
+    def __init__(self, text: str):
+        self.text = F.coalesce(F.col(text), F.lit(""))
 
+    def _lines(self) -> Column:
+        return F.filter(F.split(self.text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
 
-def n_words(text: str) -> Column:
-    return F.size(words(F.col(text)))
+    def n_words(self) -> Column:
+        return F.size(words(self.text)).cast("long")
 
+    def word_chars(self) -> Column:
+        return F.length(F.translate(self.text, SPACE, "")).cast("long")
 
-def n_symbols(text: str) -> Column:
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))
+    def n_symbols(self) -> Column:
+        return (F.length(self.text) - F.length(F.translate(self.text, SYMBOLS, ""))).cast("long")
 
+    def n_lines(self) -> Column:
+        return F.size(self._lines()).cast("long")
 
-def _letters(text: str) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^\\p{L}]+", ""))
+    def n_dup_lines(self) -> Column:
+        return (F.size(self._lines()) - F.size(F.array_distinct(self._lines()))).cast("long")
 
+    def letters(self) -> Column:
+        return F.length(F.regexp_replace(self.text, "[^\\p{L}]+", "")).cast("long")
 
-def _capitals(text: str) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^\\p{Lu}]+", ""))
+    def capitals(self) -> Column:
+        return F.length(F.regexp_replace(self.text, "[^\\p{Lu}]+", "")).cast("long")
 
 
-def word_chars(text: str) -> Column:
-    return F.length(F.translate(F.coalesce(F.col(text), F.lit("")), " \t\n\x0b\f\r", ""))
+#: Measures that the base statistics hold.
+BASE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")
 
 
-def _lines_with_words(text: str) -> Column:
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    return F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
+class Known(Measures):
+    """Measures of a text whose base statistics stand in columns `at`_..., which rules then needn't compute."""
 
+    def __init__(self, text: str, at: str):
+        super().__init__(text)
+        for name in BASE:
+            setattr(self, name, lambda c=f"{at}_{name}": F.col(c))
 
-def n_dup_lines(text: str) -> Column:
-    return F.size(_lines_with_words(text)) - F.size(F.array_distinct(_lines_with_words(text)))
+
+@dataclass(frozen=True)
+class Rule:
+    """A document that `rejects`, a function of its Measures, is true for goes."""
+
+    name: str
+    rejects: Callable[[Measures], Column]
 
 
 #: The rules, in no order that matters: a document is kept if none rejects it.
 RULES = (
-    Rule("few_words", lambda t: n_words(t) < 50),
-    Rule("symbols", lambda t: n_symbols(t) * 10 > n_words(t) * 2),
-    Rule("capitals", lambda t: _capitals(t) * 100 > _letters(t) * 40),
-    Rule("no_letters", lambda t: _letters(t) * 100 < word_chars(t) * 50),
-    Rule("word_length", lambda t: (word_chars(t) < n_words(t) * 2) | (word_chars(t) > n_words(t) * 25)),
-    Rule("dup_lines", lambda t: n_dup_lines(t) * 100 > F.size(_lines_with_words(t)) * 60),
+    Rule("few_words", lambda m: m.n_words() < 50),
+    Rule("symbols", lambda m: m.n_symbols() * 10 > m.n_words() * 2),
+    Rule("capitals", lambda m: m.capitals() * 100 > m.letters() * 40),
+    Rule("no_letters", lambda m: m.letters() * 100 < m.word_chars() * 50),
+    Rule("word_length", lambda m: (m.word_chars() < m.n_words() * 2) | (m.word_chars() > m.n_words() * 25)),
+    Rule("dup_lines", lambda m: m.n_dup_lines() * 100 > m.n_lines() * 60),
 )
 
 
@@ -82,7 +97,7 @@ def profiled(df: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, sample_r
     idle, _, rows = timed(F.lit(False))
     out = []
     for rule in rules:
-        took, hits, _ = timed(F.coalesce(rule.rejects("__t"), F.lit(False)))
+        took, hits, _ = timed(F.coalesce(rule.rejects(Measures("__t")), F.lit(False)))
         out.append((rule, max(took - idle, 1e-6) / max(rows, 1), hits / max(rows, 1)))
     sample.unpersist()
     return out
@@ -93,11 +108,11 @@ def ordered(profile: list[tuple[Rule, float, float]]) -> list[Rule]:
     return [r for r, cost, share in sorted(profile, key=lambda x: (-(x[2] / max(x[1], 1e-12)), x[0].name))]
 
 
-def cascade(rules: list[Rule], text: str) -> Column:
+def cascade(rules: list[Rule], measures: Measures) -> Column:
     """The name of the first rule that rejects, null if none does; later rules aren't computed then."""
     verdict = None
     for rule in rules:
-        hit = F.coalesce(rule.rejects(text), F.lit(False))
+        hit = F.coalesce(rule.rejects(measures), F.lit(False))
         verdict = F.when(hit, rule.name) if verdict is None else verdict.when(hit, rule.name)
     return verdict.otherwise(F.lit(None).cast("string"))
 
@@ -106,7 +121,7 @@ def filtered(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     """The rows that no rule rejects. Null and empty texts have no words, so `few_words` rejects them."""
     order = ordered(profiled(df, text_col, rules, sample_rows))
     base = base_failed(with_base(df, text_col, "__q"), "__q")
-    return where_late(base, ~F.col("__q_failed") & cascade(order, text_col).isNull()).select(*[F.col(c) for c in df.columns])
+    return where_late(base, ~F.col("__q_failed") & cascade(order, Known(text_col, "__q")).isNull()).select(*[F.col(c) for c in df.columns])
 
 
 def with_base(df: DataFrame, text: str, at: str) -> DataFrame:
@@ -131,16 +146,11 @@ def with_base(df: DataFrame, text: str, at: str) -> DataFrame:
     out = out.withColumn(p, F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i, i - 1) | same(x, i, i + 1)), lambda x: x["i"])))
     gap = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(F.col(p), i + 1) - x, F.lit(3))))
     covered = F.aggregate(gap, F.lit(0), lambda a, x: a + x)
-    stats = F.struct(
-        F.col(f"{at}_n_words").alias("n_words"),
-        word_chars(text).cast("long").alias("word_chars"),
-        n_symbols(text).cast("long").alias("n_symbols"),
-        n_dup_lines(text).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
+    measures = Measures(text)
+    stats = F.struct(F.col(f"{at}_n_words").alias("n_words"), *[getattr(measures, c)().alias(c) for c in BASE[1:]], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
     # Through an explode of one, which filters aren't pushed below: they would put the sort above into its own lambdas.
     out = out.select(*[F.col(c) for c in df.columns], F.explode_outer(F.array(stats)).alias(f"{at}_st"))
-    return out.select(*[F.col(c) for c in df.columns], *[F.col(f"{at}_st.{c}").alias(f"{at}_{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
+    return out.select(*[F.col(c) for c in df.columns], *[F.col(f"{at}_st.{c}").alias(f"{at}_{c}") for c in (*BASE, "n_repeat_words")])
 
 
 def base_failed(df: DataFrame, at: str) -> DataFrame:
@@ -157,7 +167,7 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     order = ordered(profiled(df, text_col, rules, sample_rows))
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     rows = base_failed(with_base(rows, "__text", "__q"), "__q")
-    rows = rows.withColumn("rejected_by", F.when(F.col("__q_failed"), F.lit("base")).otherwise(cascade(order, "__text")))
+    rows = rows.withColumn("rejected_by", F.when(F.col("__q_failed"), F.lit("base")).otherwise(cascade(order, Known("__text", "__q"))))
     return rows.select(
         "doc_id",
         *[F.col(f"__q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
