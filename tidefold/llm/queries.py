@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm import chat, decontam, licenses, lines, packing, quality, sharding, simhash, substrings, tokenfiles
+from tidefold.llm import oracles
 from tidefold.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,5 +104,10 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_chat": oracles.OP1,
+    "op2_licenses": oracles.OP2,
+    "op3_line_dedup": oracles.OP3,
+    "op4_decontamination": oracles.OP4,
+    "op7_substring_dedup": oracles.OP7,
     "op8_quality_rules": OP8_SQL,
 }
