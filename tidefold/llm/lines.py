@@ -87,7 +87,7 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th, line_no of the lines that stay, of those that have a word."""
-    rows = _lines(docs, id_col, text_col).withColumn("w", words(F.col("line"))).where(F.size("w") > 0)
+    rows = _lines(docs, id_col, text_col).where(F.btrim("line", F.lit(SPACE)) != "").withColumn("w", words(F.col("line")))
     n = F.size("w")
     rows = rows.select(F.struct("doc_id", "th", "line_no").alias("at"), F.xxhash64("w").alias("line"), F.xxhash64(F.lit(1), "w").alias("h2"), n.alias("n"), F.array(*_halves("w", n)).alias("halves"))
     # Equal lines become one, at their earliest place, before anything else is shuffled.
