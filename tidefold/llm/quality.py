@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.common import SPACE, where_late, words
 
-#: Rows of the sample on which costs and selectivities are estimated, and the hash share it is drawn from.
+#: Rows, about, of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 2_000
 
 SYMBOLS = "#*$%&|<>"
@@ -83,10 +83,11 @@ RULES = (
 def profiled(df: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, seconds a row, share of rows rejected) of each rule on a bounded sample of `df`.
 
-    The sample is the first `sample_rows` rows that the scan yields. It stays on the executors and settles only
-    the order in which rules are tried, never what they decide. A job's own overhead is taken off the costs.
+    The sample is drawn at random, `sample_rows` rows about; it meets on one executor and settles only the order
+    in which rules are tried, never what they decide. A job's own overhead is taken off the costs.
     """
-    sample = df.select(F.col(text).alias("__t")).limit(sample_rows).persist()
+    share = min(1.0, sample_rows / max(df.count(), 1))
+    sample = df.select(F.col(text).alias("__t")).sample(share, seed=1).repartition(1).persist()
 
     def timed(rejects: Column) -> tuple[float, int, int]:
         began = time.perf_counter()
