@@ -138,6 +138,37 @@ def test_licenses_equal_brute_force(spark, docs, empty):
     assert licenses.scanned(empty).count() == 0 and licenses.scanned(docs).count() == 0
 
 
+def test_licenses_within_longer_texts(spark):
+    norm = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip().split(" ")
+    rng = random.Random(5)
+    prose = lambda n: "\n".join(" ".join(rng.choice(["of", "the", "software", "tide", "any", "is"]) for _ in range(9)) for _ in range(n))
+    wrap = lambda t, n: "\n".join(" ".join(t.split(" ")[i : i + n]) for i in range(0, len(t.split(" ")), n))
+    mit, gpl, isc = (licenses.TEMPLATES[k] for k in ("MIT", "GPL-3.0 notice", "ISC"))
+    parts = mit.replace(": The above", ":\n\nThe above").replace("Software. THE", "Software.\n\nTHE")
+    texts = {
+        1: f"{prose(40)}\n\n{parts}\n\n{prose(30)}",
+        2: f"{prose(30)}\n{wrap(gpl, 8)}\n{prose(30)}",
+        3: f"{prose(5)}\n\n{wrap(isc, 3)}\n \n{prose(60)}\n{wrap(isc, 11)}",
+        4: prose(90),
+        5: f"{prose(40)}\n{wrap(mit[:500], 7)}\n{prose(40)}",
+    }
+    rows = [*texts.items(), (1, texts[1]), (None, texts[2])]
+    out = licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = {}
+    for d, t in texts.items():
+        words_of = [norm(x) for x in t.split("\n") if norm(x) != [""]]
+        for name in ("MIT", "GPL-3.0 notice", "ISC"):
+            x = norm(licenses.TEMPLATES[name])
+            runs = [sum(words_of[i:j], []) for i in range(len(words_of)) for j in range(i + 1, min(len(words_of), i + 80) + 1)]
+            best = max(dice(w, x) for w in runs if len(w) <= 2 * len(x))
+            if best >= licenses.THRESHOLD:
+                want[d, name] = round(best, 6)
+    want[None, "GPL-3.0 notice"] = want[2, "GPL-3.0 notice"]
+    assert set(want) == {(1, "MIT"), (2, "GPL-3.0 notice"), (None, "GPL-3.0 notice"), (3, "ISC")}
+    assert {(r["doc_id"], r["template"]): r["dice"] for r in out} == want
+    assert {r["doc_id"]: r["n_units"] for r in out} == {1: 1, 2: 1, 3: 2, None: 1}
+
+
 # op3 ---------------------------------------------------------------------------------------------------------------
 
 

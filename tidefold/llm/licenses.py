@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidefold.llm.common import small, where_late, written
+
 #: Fixed texts: licence notices and short licences, by their identifiers.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
@@ -78,37 +80,93 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
     """Per document and template that matches: doc_id, template, dice (the best), n_units (matching units).
 
     Units are the whole text, its lines and its paragraphs (parted by empty lines). A unit's bigrams are a multiset;
-    Dice is twice the shared over the sum of both sizes. A unit whose size no template can match by the size bounds
-    isn't cut into bigrams at all. Templates are few and given by the caller, so they are broadcast; no document's
-    bigrams are shuffled but those that a template of fitting size shares. Null and empty texts match nothing; ids
-    that repeat are counted together; an empty table gives an empty table.
+    Dice is twice the shared over the sum of both sizes. Besides, all runs of consecutive lines are scored, and so of
+    paragraphs, for licences wrapped over lines or paragraphs within a longer text: their Dice counts as any unit's, and matching
+    runs that overlap are one passage, which n_units counts where none of its runs is a unit. A licence that begins
+    or ends within a line is judged with the rest of that line.
+
+    A unit whose size no template can match by the size bounds isn't cut into bigrams at all, but for texts of several
+    lines. Templates are few and given by the caller, so they are broadcast; no document's bigrams are shuffled but those that a
+    template shares. Null and empty texts match nothing; ids that repeat are counted together; an empty table gives an
+    empty table.
     """
     spark = docs.sparkSession
     given = [(k, t) for k, t in (templates or TEMPLATES).items()]
     cards = spark.createDataFrame(given, "template string, __t string").withColumn("__w", F.split(normalised(F.col("__t")), " "))
     cards = cards.where(F.size("__w") > 1).withColumn("__size", F.size("__w") - 1)
-    grams = cards.select("template", "__size", F.explode(F.sequence(F.lit(1), F.col("__size"))).alias("__i"), "__w")
-    grams = grams.groupBy("template", "__size", F.xxhash64(F.get("__w", F.col("__i") - 1), F.get("__w", F.col("__i"))).alias("__g")).agg(F.count(F.lit(1)).alias("__of"))
     sizes = [r[0] for r in cards.select("__size").distinct().collect()]
     ranges = [bounds(s, threshold) for s in sizes]
     if not ranges:
         ranges = [(1, 0)]
+    bound = spark.createDataFrame([(s, *bounds(s, threshold)) for s in sizes], "__size int, __lo int, __hi int")
+    grams = cards.join(F.broadcast(bound), "__size").select("template", "__size", "__lo", "__hi", F.explode(F.sequence(F.lit(1), F.col("__size"))).alias("__i"), "__w")
+    grams = grams.groupBy("template", "__size", "__lo", "__hi", F.xxhash64(F.get("__w", F.col("__i") - 1), F.get("__w", F.col("__i"))).alias("__g")).agg(F.count(F.lit(1)).alias("__of"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines, blocks = F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n")
     several = lambda x: F.when(F.size(x) > 1, x).otherwise(F.array().cast("array<string>"))
-    units = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.concat(F.array(text), several(lines), several(blocks))).alias("unit", "__u"))
+    units = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("__th"), F.contains(text, F.lit("\n")).alias("__long"), F.posexplode_outer(F.concat(F.array(text), several(lines), several(blocks))).alias("unit", "__u"))
     # Words are parted by one character at least, so short units go before they are normalised.
     units = units.where(F.length("__u") >= 2 * min(lo for lo, _ in ranges) + 1)
-    units = units.select("doc_id", "unit", F.split(normalised(F.col("__u")), " ").alias("__w")).withColumn("__n", F.size("__w") - 1)
-    fits = F.lit(False)
+    units = units.select("doc_id", "__th", "unit", (F.col("__long") & (F.col("unit") == 0)).alias("__long"), F.split(normalised(F.col("__u")), " ").alias("__w")).withColumn("__n", F.size("__w") - 1)
+    fits = F.col("__long")
     for lo, hi in sorted(set(ranges)):
         fits = fits | F.col("__n").between(lo, hi)
-    hashes = F.transform(F.sequence(F.lit(1), F.col("__n")), lambda i: F.xxhash64(F.get("__w", i - 1), F.get("__w", i)))
     # No filter here, and the outer explode: Spark would push either below, and normalise each text again for each bound.
-    pairs = units.select("doc_id", "unit", "__n", F.when(fits & (F.col("__n") > 0), hashes).alias("__gs")).select("doc_id", "unit", "__n", F.explode_outer("__gs").alias("__g"))
+    pairs = units.select("*", F.explode_outer(F.when(fits & (F.col("__n") > 0), F.sequence(F.lit(0), F.col("__n") - 1))).alias("__p"))
+    pairs = pairs.select("doc_id", "__th", "unit", "__long", "__n", "__p", F.xxhash64(F.get("__w", F.col("__p")), F.get("__w", F.col("__p") + 1)).alias("__g"))
     near = (F.lit(threshold) * (F.col("__n") + F.col("__size"))) <= 2 * F.least("__n", "__size")
-    hits = pairs.join(F.broadcast(grams), "__g").where(near)
-    counted = hits.groupBy("doc_id", "unit", "template", "__n", "__size", "__g", "__of").agg(F.count(F.lit(1)).alias("__c"))
+    hits = written(pairs.join(F.broadcast(grams), "__g").where(near | F.col("__long")), "hits")
+    counted = hits.where(near).groupBy("doc_id", "unit", "template", "__n", "__size", "__g", "__of").agg(F.count(F.lit(1)).alias("__c"))
     scored = counted.groupBy("doc_id", "unit", "template", "__n", "__size").agg(F.sum(F.least("__c", "__of")).alias("__both"))
     scored = scored.withColumn("dice", 2 * F.col("__both") / (F.col("__n") + F.col("__size"))).where(F.col("dice") >= threshold)
-    return scored.groupBy("doc_id", "template").agg(F.round(F.max("dice"), 6).alias("dice"), F.count(F.lit(1)).alias("n_units"))
+    scored = scored.select("doc_id", "template", "dice", F.lit(1).alias("n_units"))
+    both = scored.unionByName(_runs(docs, hits, id_col, text_col, threshold))
+    return both.groupBy("doc_id", "template").agg(F.round(F.max("dice"), 6).alias("dice"), F.sum("n_units").alias("n_units"))
+
+
+def _runs(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """doc_id, template, dice (the best), n_units (0 if a unit is among the runs, else 1) of the passages that matching runs of lines cover.
+
+    A run that matches has `__hi` bigrams at most and shares `__lo` at least. Places in a text are parted into cells of `__hi`;
+    a run that starts in a cell ends in the next one at the latest, so two cells that share too few bigrams hold none.
+    """
+    of = ["doc_id", "__th", "template", "__size", "__lo", "__hi"]
+    rows = hits.where("__long").select(*of, "__g", "__of", "__p").distinct()  # rows equal in id and text are one
+    cell = F.floor(F.col("__p") / F.col("__hi"))
+    rows = rows.select("*", F.explode(F.array(cell, cell - 1)).alias("__cell")).where("__cell >= 0")
+    by_gram = rows.groupBy(*of, "__cell", "__g", "__of").agg(F.sort_array(F.collect_list("__p")).alias("ps"))
+    rich = by_gram.groupBy(*of, "__cell").agg(F.sum(F.least(F.size("ps"), F.col("__of"))).alias("__most"), F.collect_list(F.struct("ps", F.col("__of").cast("int").alias("of"))).alias("__grams")).where("__most >= __lo")
+    rich = written(rich.drop("__most"), "rich")
+
+    # Of the texts that are left, the lines that have words: the places of their first and last.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = rich.select(F.col("doc_id").alias("__d"), F.col("__th").alias("__h")).distinct()
+    found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("__th"), text.alias("__t"))
+    found = found.join(small(written(keys, "keys")), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left_semi")
+    lines = found.select("doc_id", "__th", F.posexplode(F.split("__t", "\n")).alias("__no", "__l")).dropDuplicates(["doc_id", "__th", "__no"])
+    in_order = Window.partitionBy("doc_id", "__th").orderBy("__no")
+    lines = lines.withColumn("__block", F.sum((F.btrim("__l", F.lit(" \t\r")) == "").cast("int")).over(in_order))
+    lines = lines.select("doc_id", "__th", "__no", "__block", normalised(F.col("__l")).alias("__l")).where("__l <> ''").withColumn("__k", F.size(F.split("__l", " ")))
+    past = F.sum("__k").over(in_order)
+    lines = lines.select(F.col("doc_id").alias("__d"), F.col("__th").alias("__h"), "__block", (past - F.col("__k")).alias("__first"), (past - 1).alias("__last"))
+    block, whole = Window.partitionBy("__d", "__h", "__block"), Window.partitionBy("__d", "__h")
+    lines = lines.select("*", F.min("__first").over(block).alias("__top"), F.max("__last").over(block).alias("__foot"), F.max("__last").over(whole).alias("__end"))
+    lines = written(lines, "lines")
+    here = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h"))
+
+    # A hit counts in a run if the run starts after the hit of that bigram that is `of` before it.
+    flat = F.flatten(F.transform("__grams", lambda x: F.transform(x["ps"], lambda p, j: F.struct(p.alias("p"), F.coalesce(F.get(x["ps"], j - x["of"]), F.lit(-1)).alias("before")))))
+    starts = rich.join(lines, here & (F.floor(F.col("__first") / F.col("__hi")) == F.col("__cell"))).drop("__d", "__h")
+    counts = F.transform(F.filter(flat, lambda x: (x["p"] >= F.col("__first")) & (x["before"] < F.col("__first")) & (x["p"] < F.col("__first") + F.col("__hi"))), lambda x: x["p"])
+    starts = where_late(starts.select(*of, "__first", F.col("__last").alias("__line"), "__top", "__foot", "__end", counts.alias("__ps")), F.size("__ps") >= F.col("__lo"))
+    n = F.col("__last") - F.col("__first")
+    ends = starts.join(lines.select("__d", "__h", "__last"), here & n.between(F.col("__lo"), F.col("__hi")))
+    last, first = F.col("__last"), F.col("__first")
+    unit = (last == F.col("__line")) | ((first == F.col("__top")) & (last == F.col("__foot"))) | ((first == 0) & (last == F.col("__end")))
+    dice = 2 * F.size(F.filter("__ps", lambda p: p < last)) / (n + F.col("__size"))
+    scored = where_late(ends.select("doc_id", "__th", "template", "__first", "__last", unit.alias("__unit"), dice.alias("dice")), F.col("dice") >= threshold)
+    ordered = Window.partitionBy("doc_id", "__th", "template").orderBy("__first", "__last")
+    apart = F.max("__last").over(ordered.rowsBetween(Window.unboundedPreceding, -1)) < first
+    passages = scored.withColumn("__apart", apart.cast("int")).withColumn("__passage", F.coalesce(F.sum("__apart").over(ordered), F.lit(0)))
+    passages = passages.groupBy("doc_id", "__th", "template", "__passage").agg(F.max("dice").alias("dice"), F.bool_or("__unit").alias("__unit"))
+    return passages.select("doc_id", "template", "dice", F.when(F.col("__unit"), 0).otherwise(1).alias("n_units"))
