@@ -46,6 +46,19 @@ def test_decisions_take_effect(spark):
     assert kept(corpus_pipeline.near_dedup, copies) == [1]
 
 
+@pytest.mark.skipif(not os.path.isdir(PATH), reason="no tables here")
+def test_documents_are_told_apart_by_id_and_text(spark):
+    text = lambda p: " ".join(f"{p}{k}" for k in range(80))
+    item = spark.read.parquet(f"{PATH}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (7, text("c").upper()), (8, text("a").upper()), (9, text("e"))]
+    frame = lambda rows: spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    got = lambda f, rows: [(r["doc_id"], r["text"].lower()) for r in f(spark, frame(rows), PATH).collect()]
+    by = lambda x: str(x)
+    assert sorted(got(corpus_pipeline.near_dedup, rows), key=by) == sorted([(None, text("b")), (7, text("c")), (7, text("d")), (8, text("a")), (9, text("e"))], key=by)
+    leak = [(None, f"{text('f')} {item}"), (None, text("b")), (7, f"{text('g')} {item}"), (7, text("d"))]
+    assert sorted(got(corpus_pipeline.decontamination, leak), key=by) == sorted([(None, text("b")), (7, text("d"))], key=by)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     if not os.path.isdir(PATH):
