@@ -54,3 +54,8 @@ def test_entry_runs(spark):
 def test_ordered_queries_have_rows(spark):
     for name in set(catalogue.QUERIES) - set(catalogue.ORACLE):
         assert catalogue.QUERIES[name](spark, PATH).count() > 0
+
+
+def test_every_event_gets_a_replicate_verdict(spark):
+    got = catalogue.QUERIES["topk_replicate_all"](spark, PATH)
+    assert got.count() == got.where("replicate is not null").count() == spark.read.parquet(f"{PATH}/events.parquet").count()

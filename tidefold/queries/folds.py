@@ -226,6 +226,12 @@ def topk_replicate(t):
     return topk.with_threshold(board, few, KEY, 10).select("id", "score", "replicate")
 
 
+@query(f"WITH b AS ({TOPSUM}) SELECT user_id AS id, floor(value * 100)::BIGINT AS score, floor(value * 100)::BIGINT >= (SELECT min(score) FROM b) OR (SELECT count(*) FROM b) < 10 AS replicate FROM events")
+def topk_replicate_all(t):
+    ops = log.running_sums(t("events"))
+    return topk.with_threshold(topk.topsum(ops, KEY, 10), ops, KEY, 10).select("id", "score", "replicate")
+
+
 HOURS = "SELECT event_type AS key, list(n ORDER BY pos) AS counts FROM (SELECT k.event_type, p.pos, count(e.event_id) AS n FROM (SELECT event_type, max(hour(ts)) AS top FROM events GROUP BY 1) k JOIN (SELECT unnest(range(24)) AS pos) p ON p.pos <= k.top LEFT JOIN events e ON e.event_type = k.event_type AND hour(e.ts) = p.pos GROUP BY ALL) GROUP BY 1"
 
 
