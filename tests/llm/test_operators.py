@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidefold.llm import chat, components, decontam, golay, licenses, lines, packing, quality, ranking, sharding, simhash, substrings, tokenfiles, tokens
+from tidefold.llm import chat, components, decontam, golay, licenses, lines, minhash, packing, quality, ranking, sharding, simhash, substrings, tokenfiles, tokens
 from tidefold.llm.common import words
 
 SCHEMA = "doc_id long, text string, source string"
@@ -534,3 +534,41 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["root"] for r in components.roots(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 120), 100)}
     assert components.roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_minhash_groups_equal_brute_force(spark, docs, empty):
+    rng = random.Random(11)
+    rows = [(r[0], r[1]) for r in sample() if r[0] is not None]
+    for g in range(40):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(rng.randint(60, 200))]
+        rows.append((1000 + 10 * g, " ".join(base)))
+        for j in range(3):  # similarities about 0.8
+            edit = list(base)
+            for _ in range(max(1, len(base) // rng.choice([40, 48, 60]))):
+                edit[rng.randrange(len(edit))] = f"new{rng.randrange(10**6)}"
+            rows.append((1001 + 10 * g + j, " ".join(edit)))
+    sets = []
+    for _, t in rows:
+        w = [x.decode("utf-8", "replace") for x in (t or "").encode().lower().split()]
+        k = min(5, len(w))
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset())
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    low = 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both, total = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+        if total == 0 or 10 * both >= 8 * total:
+            low += bool(total) and 10 * both < 8.5 * total
+            parent[root(i)] = root(j)
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        want[root(i)] = min(want.get(root(i), d), d)
+    assert low > 5
+    out = minhash.clustered(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(map(tuple, out.select("doc_id", "component_id").collect())) == Counter((d, want[root(i)]) for i, (d, _) in enumerate(rows))
+    assert minhash.clustered(empty).count() == 0
