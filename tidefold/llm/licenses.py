@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import small, where_late, written
+from tidefold.llm.common import where_late, written
 
 #: Fixed texts: licence notices and short licences, by their identifiers.
 TEMPLATES: dict[str, str] = {
@@ -44,6 +44,78 @@ TEMPLATES: dict[str, str] = {
         "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
         "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        '"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A '
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, "
+        "DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS "
+        'SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+        "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER "
+        "OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+        "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY "
+        "OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+        "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+        "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+        'under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+        "THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"
+    ),
+    "0BSD": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS "
+        'PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY '
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "MPL-2.0 notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "GPL-2.0 notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public "
+        "License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA "
+        "02110-1301 USA."
+    ),
+    "LGPL-3.0 notice": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser "
+        "General Public License along with this library. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "AGPL-3.0 notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero "
+        "General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "CC0-1.0 notice": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. This work is "
+        "published from the public domain under CC0 1.0 Universal."
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
         'above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL '
@@ -76,62 +148,64 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold)), math.floor(size * (2 - threshold) / threshold)
 
 
+def from_folder(spark: SparkSession, path: str) -> dict[str, str]:
+    """Templates from a folder of licence texts, a file each, by the files' names: such as a full set of long licences."""
+    files = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("name"))
+    return {r["name"]: r["value"] for r in files.collect()}
+
+
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document and template that matches: doc_id, template, dice (the best), n_units (matching units).
+    """Per document and template found in it: doc_id, template, dice (the best), n_passages.
 
-    Units are the whole text, its lines and its paragraphs (parted by empty lines). A unit's bigrams are a multiset;
-    Dice is twice the shared over the sum of both sizes. Besides, all runs of consecutive lines are scored, and so of
-    paragraphs, for licences wrapped over lines or paragraphs within a longer text: their Dice counts as any unit's, and matching
-    runs that overlap are one passage, which n_units counts where none of its runs is a unit. A licence that begins
+    What is scored is every run of consecutive lines of a text, from one line to all of them: its words' bigrams are a multiset, and Dice is
+    twice the shared over the sum of both sizes. Of the runs that reach the threshold, each line goes to the best that covers it (of equal
+    ones to the longer, then to the template whose name comes first), so a text that resembles two licences is reported as the one it is. A
+    template is found in a document if it has a line there; its runs that overlap are one passage. A licence that begins
     or ends within a line is judged with the rest of that line.
 
-    A unit whose size no template can match by the size bounds isn't cut into bigrams at all, but for texts of several
-    lines. Templates are few and given by the caller, so they are broadcast; no document's bigrams are shuffled but those that a
-    template shares. Null and empty texts match nothing; ids that repeat are counted together; an empty table gives an
-    empty table.
+    A text is normalised and cut into bigrams once; one of a single line that is too short or too long for every template by the size
+    bounds isn't cut at all. Templates are few and given by the caller, so they are broadcast; no document's bigrams are shuffled but
+    those that a template shares. Null and empty texts match nothing; rows equal in id and text are one; ids that repeat are reported
+    together; a very long text costs as much a word as a short one; an empty table gives an empty table. Other columns of `docs`, whatever
+    their names, aren't read.
     """
     spark = docs.sparkSession
     given = [(k, t) for k, t in (templates or TEMPLATES).items()]
     cards = spark.createDataFrame(given, "template string, __t string").withColumn("__w", F.split(normalised(F.col("__t")), " "))
     cards = cards.where(F.size("__w") > 1).withColumn("__size", F.size("__w") - 1)
     sizes = [r[0] for r in cards.select("__size").distinct().collect()]
-    ranges = [bounds(s, threshold) for s in sizes]
-    if not ranges:
-        ranges = [(1, 0)]
+    ranges = [bounds(s, threshold) for s in sizes] or [(1, 0)]
     bound = spark.createDataFrame([(s, *bounds(s, threshold)) for s in sizes], "__size int, __lo int, __hi int")
     grams = cards.join(F.broadcast(bound), "__size").select("template", "__size", "__lo", "__hi", F.explode(F.sequence(F.lit(1), F.col("__size"))).alias("__i"), "__w")
     grams = grams.groupBy("template", "__size", "__lo", "__hi", F.xxhash64(F.get("__w", F.col("__i") - 1), F.get("__w", F.col("__i"))).alias("__g")).agg(F.count(F.lit(1)).alias("__of"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines, blocks = F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n")
-    several = lambda x: F.when(F.size(x) > 1, x).otherwise(F.array().cast("array<string>"))
-    units = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("__th"), F.contains(text, F.lit("\n")).alias("__long"), F.posexplode_outer(F.concat(F.array(text), several(lines), several(blocks))).alias("unit", "__u"))
-    # Words are parted by one character at least, so short units go before they are normalised.
-    units = units.where(F.length("__u") >= 2 * min(lo for lo, _ in ranges) + 1)
-    units = units.select("doc_id", "__th", "unit", (F.col("__long") & (F.col("unit") == 0)).alias("__long"), F.split(normalised(F.col("__u")), " ").alias("__w")).withColumn("__n", F.size("__w") - 1)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("__u")).where(F.length("__u") >= 2 * min(lo for lo, _ in ranges) + 1)  # words are parted by one character at least
+    rows = rows.select("doc_id", F.xxhash64("__u").alias("__th"), F.contains("__u", F.lit("\n")).alias("__long"), F.split(normalised(F.col("__u")), " ").alias("__w")).withColumn("__n", F.size("__w") - 1)
     fits = F.col("__long")
     for lo, hi in sorted(set(ranges)):
         fits = fits | F.col("__n").between(lo, hi)
     # No filter here, and the outer explode: Spark would push either below, and normalise each text again for each bound.
-    pairs = units.select("*", F.explode_outer(F.when(fits & (F.col("__n") > 0), F.sequence(F.lit(0), F.col("__n") - 1))).alias("__p"))
-    pairs = pairs.select("doc_id", "__th", "unit", "__long", "__n", "__p", F.xxhash64(F.get("__w", F.col("__p")), F.get("__w", F.col("__p") + 1)).alias("__g"))
+    pairs = rows.select("*", F.explode_outer(F.when(fits & (F.col("__n") > 0), F.sequence(F.lit(0), F.col("__n") - 1))).alias("__p"))
+    pairs = pairs.select("doc_id", "__th", "__long", "__n", "__p", F.xxhash64(F.get("__w", F.col("__p")), F.get("__w", F.col("__p") + 1)).alias("__g"))
     near = (F.lit(threshold) * (F.col("__n") + F.col("__size"))) <= 2 * F.least("__n", "__size")
-    hits = written(pairs.join(F.broadcast(grams), "__g").where(near | F.col("__long")), "hits")
-    counted = hits.where(near).groupBy("doc_id", "unit", "template", "__n", "__size", "__g", "__of").agg(F.count(F.lit(1)).alias("__c"))
-    scored = counted.groupBy("doc_id", "unit", "template", "__n", "__size").agg(F.sum(F.least("__c", "__of")).alias("__both"))
+    hits = written(pairs.join(F.broadcast(grams), "__g").where(near | F.col("__long")).distinct(), "hits")
+    # A text of one line is one run.
+    counted = hits.where(~F.col("__long")).groupBy("doc_id", "__th", "template", "__n", "__size", "__g", "__of").agg(F.count(F.lit(1)).alias("__c"))
+    scored = counted.groupBy("doc_id", "__th", "template", "__n", "__size").agg(F.sum(F.least("__c", "__of")).alias("__both"))
     scored = scored.withColumn("dice", 2 * F.col("__both") / (F.col("__n") + F.col("__size"))).where(F.col("dice") >= threshold)
-    scored = scored.select("doc_id", "template", "dice", F.lit(1).alias("n_units"))
+    scored = scored.groupBy("doc_id", "__th").agg(F.min(F.struct((-F.col("dice")).alias("d"), "template")).alias("b")).select("doc_id", "b.template", (-F.col("b.d")).alias("dice"), F.lit(1).alias("n_passages"))
     both = scored.unionByName(_runs(docs, hits, id_col, text_col, threshold))
-    return both.groupBy("doc_id", "template").agg(F.round(F.max("dice"), 6).alias("dice"), F.sum("n_units").alias("n_units"))
+    return both.groupBy("doc_id", "template").agg(F.round(F.max("dice"), 6).alias("dice"), F.sum("n_passages").alias("n_passages"))
 
 
 def _runs(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """doc_id, template, dice (the best), n_units (0 if a unit is among the runs, else 1) of the passages that matching runs of lines cover.
+    """doc_id, template, dice (the best), n_passages of texts of several lines.
 
     A run that matches has `__hi` bigrams at most and shares `__lo` at least. Places in a text are parted into cells of `__hi`;
     a run that starts in a cell ends in the next one at the latest, so two cells that share too few bigrams hold none.
     """
     of = ["doc_id", "__th", "template", "__size", "__lo", "__hi"]
-    rows = hits.where("__long").select(*of, "__g", "__of", "__p").distinct()  # rows equal in id and text are one
+    rows = hits.where("__long").select(*of, "__g", "__of", "__p")
     cell = F.floor(F.col("__p") / F.col("__hi"))
     rows = rows.select("*", F.explode(F.array(cell, cell - 1)).alias("__cell")).where("__cell >= 0")
     by_gram = rows.groupBy(*of, "__cell", "__g", "__of").agg(F.sort_array(F.collect_list("__p")).alias("ps"))
@@ -140,33 +214,32 @@ def _runs(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, threshol
 
     # Of the texts that are left, the lines that have words: the places of their first and last.
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = rich.select(F.col("doc_id").alias("__d"), F.col("__th").alias("__h")).distinct()
+    keys = written(rich.select(F.col("doc_id").alias("__d"), F.col("__th").alias("__h")).distinct(), "keys")
     found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("__th"), text.alias("__t"))
-    found = found.join(small(written(keys, "keys")), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left_semi")
+    found = found.join(keys, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left_semi")
     lines = found.select("doc_id", "__th", F.posexplode(F.split("__t", "\n")).alias("__no", "__l")).dropDuplicates(["doc_id", "__th", "__no"])
     in_order = Window.partitionBy("doc_id", "__th").orderBy("__no")
-    lines = lines.withColumn("__block", F.sum((F.btrim("__l", F.lit(" \t\r")) == "").cast("int")).over(in_order))
-    lines = lines.select("doc_id", "__th", "__no", "__block", normalised(F.col("__l")).alias("__l")).where("__l <> ''").withColumn("__k", F.size(F.split("__l", " ")))
+    lines = lines.select("doc_id", "__th", "__no", normalised(F.col("__l")).alias("__l")).where("__l <> ''").withColumn("__k", F.size(F.split("__l", " ")))
     past = F.sum("__k").over(in_order)
-    lines = lines.select(F.col("doc_id").alias("__d"), F.col("__th").alias("__h"), "__block", (past - F.col("__k")).alias("__first"), (past - 1).alias("__last"))
-    block, whole = Window.partitionBy("__d", "__h", "__block"), Window.partitionBy("__d", "__h")
-    lines = lines.select("*", F.min("__first").over(block).alias("__top"), F.max("__last").over(block).alias("__foot"), F.max("__last").over(whole).alias("__end"))
-    lines = written(lines, "lines")
+    lines = written(lines.select(F.col("doc_id").alias("__d"), F.col("__th").alias("__h"), (past - F.col("__k")).alias("__first"), (past - 1).alias("__last")), "lines")
     here = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h"))
 
     # A hit counts in a run if the run starts after the hit of that bigram that is `of` before it.
     flat = F.flatten(F.transform("__grams", lambda x: F.transform(x["ps"], lambda p, j: F.struct(p.alias("p"), F.coalesce(F.get(x["ps"], j - x["of"]), F.lit(-1)).alias("before")))))
-    starts = rich.join(lines, here & (F.floor(F.col("__first") / F.col("__hi")) == F.col("__cell"))).drop("__d", "__h")
+    starts = rich.join(lines, here & (F.floor(F.col("__first") / F.col("__hi")) == F.col("__cell"))).drop("__d", "__h", "__last")
     counts = F.transform(F.filter(flat, lambda x: (x["p"] >= F.col("__first")) & (x["before"] < F.col("__first")) & (x["p"] < F.col("__first") + F.col("__hi"))), lambda x: x["p"])
-    starts = where_late(starts.select(*of, "__first", F.col("__last").alias("__line"), "__top", "__foot", "__end", counts.alias("__ps")), F.size("__ps") >= F.col("__lo"))
+    starts = where_late(starts.select(*of, "__first", counts.alias("__ps")), F.size("__ps") >= F.col("__lo"))
     n = F.col("__last") - F.col("__first")
     ends = starts.join(lines.select("__d", "__h", "__last"), here & n.between(F.col("__lo"), F.col("__hi")))
     last, first = F.col("__last"), F.col("__first")
-    unit = (last == F.col("__line")) | ((first == F.col("__top")) & (last == F.col("__foot"))) | ((first == 0) & (last == F.col("__end")))
     dice = 2 * F.size(F.filter("__ps", lambda p: p < last)) / (n + F.col("__size"))
-    scored = where_late(ends.select("doc_id", "__th", "template", "__first", "__last", unit.alias("__unit"), dice.alias("dice")), F.col("dice") >= threshold)
+    scored = written(where_late(ends.select("doc_id", "__th", "template", "__first", "__last", dice.alias("dice")), F.col("dice") >= threshold), "scored")
+
+    # Each line's best run; a run stays if it is some line's.
+    place = lines.select("__d", "__h", F.col("__first").alias("__line"))
+    covering = scored.join(place, here & F.col("__line").between(first, last))
+    best = covering.groupBy("doc_id", "__th", "__line").agg(F.min(F.struct((-F.col("dice")).alias("d"), (first - last).alias("n"), "template", first.alias("__first"), last.alias("__last"))).alias("b"))
+    best = best.select("doc_id", "__th", "b.template", "b.__first", "b.__last", (-F.col("b.d")).alias("dice")).distinct()
     ordered = Window.partitionBy("doc_id", "__th", "template").orderBy("__first", "__last")
     apart = F.max("__last").over(ordered.rowsBetween(Window.unboundedPreceding, -1)) < first
-    passages = scored.withColumn("__apart", apart.cast("int")).withColumn("__passage", F.coalesce(F.sum("__apart").over(ordered), F.lit(0)))
-    passages = passages.groupBy("doc_id", "__th", "template", "__passage").agg(F.max("dice").alias("dice"), F.bool_or("__unit").alias("__unit"))
-    return passages.select("doc_id", "template", "dice", F.when(F.col("__unit"), 0).otherwise(1).alias("n_units"))
+    return best.withColumn("__apart", F.coalesce(apart.cast("int"), F.lit(1))).groupBy("doc_id", "__th", "template").agg(F.max("dice").alias("dice"), F.sum("__apart").cast("int").alias("n_passages")).drop("__th")
