@@ -1,4 +1,4 @@
-"""What the operators of this package share: working storage, words, bounded broadcasts."""
+"""What the operators of this package share: working storage, words."""
 
 from __future__ import annotations
 
@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
-#: The largest table, in rows, that an operator broadcasts after counting it.
-BROADCAST_ROWS = 500_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a laptop) a temporary folder takes its place.
+    Where the setting is absent and all run on one machine (tests, a laptop) a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -32,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = "file://" + tempfile.mkdtemp(prefix="tidefold-")
     spark.sparkContext.setCheckpointDir(base)
     return shared_dir(spark)
@@ -60,6 +59,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """`df` as a table in the shared folder, dealt into buckets by `keys`, so that joins and aggregates on just these don't shuffle it again."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    path, name = new_dir(spark, label), f"tidefold_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, in order; none for null and blank texts."""
     core = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
@@ -72,10 +80,8 @@ def where_late(df: DataFrame, condition: Column) -> DataFrame:
     A plain filter is pushed below the projections it needs and their expressions are written into it, also into
     lambdas, which would then do for each element what was meant to be done once for a row.
     """
-    flagged = df.select("*", F.explode_outer(F.when(condition, F.array(F.lit(True)))).alias("__keep"))
-    return flagged.where("__keep is not null").drop("__keep")
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, a written table of narrow rows, broadcast if its count (which its files tell) is within `rows`; beyond that its joins shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+    keep = "__keep"
+    while keep in df.columns:
+        keep += "_"
+    flagged = df.select("*", F.explode_outer(F.when(condition, F.array(F.lit(True)))).alias(keep))
+    return flagged.where(F.col(keep).isNotNull()).drop(keep)

@@ -1,48 +1,44 @@
-"""Line dedup within one word edit by deletion neighbourhoods, native."""
+"""Line dedup within one edit by deletion neighbourhoods, native."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import SPACE, small, words, written
+from tidefold.llm.common import SPACE, bucketed, words, written
 
-#: Lines of fewer words must be equal to count as copies; longer ones may differ by one word.
-MIN_EDIT_WORDS = 10
+#: An edit may be a fifth of the longer line at most: of so many units or more. Units are words; characters too where a line has at most so many words.
+MIN_UNITS = 5
 
-#: Variants' kinds: the line as it is, less one word, and less one word at a known place.
+#: Units, and the bits of a line's halves that are theirs.
+WORDS, CHARS = 0, 4
+
+#: Variants' kinds: the line as it is, less one unit, and less one unit at a known place.
 WHOLE, SHORTER, MASKED = 0, 1, 2
 
-#: Bits of a word's hash at a place: sums of them stay within 64 bits for lines of up to 2^27 words.
+#: Bits of a unit's hash at a place: sums of them stay within 64 bits for lines of up to 2^27 units.
 LOW = (1 << 36) - 1
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, th (hash of the text), line_no, line: every line, blank ones too."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("__t"))
-    return rows.select("doc_id", "th", F.posexplode_outer(F.split("__t", "\n")).alias("line_no", "line"))
-
-
-def _halves(w: str, n: Column) -> list[Column]:
-    """Hashes that a line shares with every line one word edit away: in two lines, the shorter of L words, either
-    the first L/2 words are equal or the last. The low two bits say which of the four hashes it is."""
+def _halves(part, n: Column, units: int) -> list[Column]:
+    """Hashes that a line of `n` units shares with every line one edit away: in two lines, the shorter of L units, either
+    the first L/2 units are equal or the last. `part(begin, length)` gives units; the low three bits say which of the hashes it is."""
     out = []
-    for k, length in ((0, n), (2, n - 1)):
+    for k, length, least in ((0, n, MIN_UNITS - 1), (2, n - 1, MIN_UNITS - 1)):
         half = F.floor(length / 2).cast("int")
-        for side, part in ((0, F.slice(w, 1, half)), (1, F.slice(w, n - half + 1, half))):
-            key = F.xxhash64(length, F.lit(side), part).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(k + side).cast("long"))
-            out.append(F.when(length >= MIN_EDIT_WORDS, key))
+        for side, begin in ((0, F.lit(1)), (1, n - half + 1)):
+            key = F.xxhash64(F.lit(units), length, F.lit(side), part(begin, half)).bitwiseAND(F.lit(-8)).bitwiseOR(F.lit(units + k + side).cast("long"))
+            out.append(F.when(length >= least, key))
     return out
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """key, line, kind: the hashed deletion neighbourhood of lines (line, n, w, halves), cut to the halves that matched.
+def _variants(lines: DataFrame, units: str, n: str, which: int) -> DataFrame:
+    """key, line, kind: the hashed deletion neighbourhood of lines (line, halves, units, n), cut to the halves that matched.
 
-    A sequence's hash is a pair of sums over its words' hashes at their places. Running sums of them, at the words' own places and
-    one place earlier, give the hash less any word at once; so a line costs a row for each word, whatever its length.
+    A sequence's hash is a pair of sums over its units' hashes at their places. Running sums of them, at the units' own places and
+    one place earlier, give the hash less any unit at once; so a line costs a row for each unit, whatever its length.
     """
-    rows = lines.select("line", "n", "halves", F.posexplode_outer("w").alias("i", "__w")).select("line", "n", "halves", "i", F.xxhash64("__w").alias("__h"))
+    rows = lines.select("line", F.col(n).alias("n"), "halves", F.posexplode_outer(units).alias("i", "__w")).select("line", "n", "halves", "i", F.xxhash64("__w").alias("__h"))
     at, all_ = Window.partitionBy("line").orderBy("i").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("line")
     i, n = F.col("i"), F.col("n")
     less, without, whole = [], [], []
@@ -55,12 +51,12 @@ def _variants(lines: DataFrame) -> DataFrame:
         less.append((before + after).alias(f"__l{seed}"))
         without.append(here.alias(f"__x{seed}"))
     rows = rows.select("line", "n", "halves", "i", *whole, *less, *without)
-    matched = lambda k: F.col("halves").bitwiseAND(F.lit(1 << k)) != 0
+    matched = lambda k: F.col("halves").bitwiseAND(F.lit(1 << (which + k))) != 0
     # A match in the first half leaves the edit to the second, and the other way about.
     half, under = F.floor(n / 2), F.floor((n - 1) / 2)
-    masked = (matched(0) & (i >= half)) | (matched(1) & (i < n - half))
-    shorter = (matched(2) & (i >= under)) | (matched(3) & (i < n - under))
-    variant = lambda when, kind, *key: F.when(when, F.struct(F.xxhash64(*key).alias("key"), F.lit(kind).alias("kind")))
+    masked = (n >= MIN_UNITS) & ((matched(0) & (i >= half)) | (matched(1) & (i < n - half)))
+    shorter = (n >= MIN_UNITS) & ((matched(2) & (i >= under)) | (matched(3) & (i < n - under)))
+    variant = lambda when, kind, *key: F.when(when, F.struct(F.xxhash64(F.lit(which), *key).alias("key"), F.lit(kind).alias("kind")))
     made = F.array(
         variant((i == 0) & (matched(0) | matched(1)), WHOLE, F.lit(0), n, "__w1", "__w2"),
         variant(shorter, SHORTER, F.lit(0), n - 1, "__l1", "__l2"),
@@ -71,7 +67,7 @@ def _variants(lines: DataFrame) -> DataFrame:
 
 
 def one_edit(a: Column, b: Column) -> Column:
-    """Whether two arrays of words differ by one word put in, taken out or exchanged."""
+    """Whether two arrays differ by one element put in, taken out or exchanged."""
     def first_gap(x: Column, y: Column) -> Column:
         n = F.least(F.size(x), F.size(y))
         zipped = F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda p, q: p != q)
@@ -82,68 +78,87 @@ def one_edit(a: Column, b: Column) -> Column:
     same = (F.size(a) == F.size(b)) & (tail(a, 1) == tail(b, 1))
     more = (F.size(a) == F.size(b) + 1) & (tail(a, 1) == tail(b, 0))
     fewer = (F.size(a) + 1 == F.size(b)) & (tail(a, 0) == tail(b, 1))
-    return same | more | fewer
+    return (F.greatest(F.size(a), F.size(b)) >= MIN_UNITS) & (same | more | fewer)
+
+
+def _characters(w: str) -> Column:
+    """A line's characters, its words joined by one space; null where it has more than MIN_UNITS words."""
+    return F.when(F.size(w) <= MIN_UNITS, F.split(F.array_join(w, " "), ""))
+
+
+def _key(doc_id: str, th: str) -> list[Column]:
+    """Two hashes, 128 bits, of a document's id and the hash of its text."""
+    return [F.xxhash64(doc_id, th).alias("k1"), F.xxhash64(F.lit(7), th, doc_id).alias("k2")]
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th, line_no of the lines that stay, of those that have a word."""
-    rows = _lines(docs, id_col, text_col).where(F.btrim("line", F.lit(SPACE)) != "").withColumn("w", words(F.col("line")))
-    n = F.size("w")
-    rows = rows.select(F.struct("doc_id", "th", "line_no").alias("at"), F.xxhash64("w").alias("line"), F.xxhash64(F.lit(1), "w").alias("h2"), n.alias("n"), F.array(*_halves("w", n)).alias("halves"))
+def _kept_lines(table: DataFrame, text: Column) -> DataFrame:
+    """k1, k2, keep (line numbers) of the lines that stay, of those that have a word; `table` is bucketed by k1, k2."""
+    rows = table.select("doc_id", "th", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    rows = rows.where(F.btrim("line", F.lit(SPACE)) != "").withColumn("w", words(F.col("line")))
+    rows = rows.select(F.struct("doc_id", "th", "line_no").alias("at"), "w", F.size("w").alias("n"), F.when(F.size("w") <= MIN_UNITS, F.array_join("w", " ")).alias("c"))
+    halves = _halves(lambda begin, length: F.slice("w", begin, length), F.col("n"), WORDS) + _halves(lambda begin, length: F.substring(F.col("c"), begin, length), F.length("c"), CHARS)
+    rows = rows.select("at", F.xxhash64("w").alias("line"), F.xxhash64(F.lit(1), "w").alias("h2"), F.array_compact(F.array(*halves)).alias("halves"))
     # Equal lines become one, at their earliest place, before anything else is shuffled.
-    one = written(rows.groupBy("line", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines")
-
-    halves = one.where(F.col("n") >= MIN_EDIT_WORDS).select("line", F.explode("halves").alias("half")).where("half is not null")
-    same = Window.partitionBy(F.col("half").bitwiseAND(F.lit(-4)))
-    shared = halves.withColumn("of", F.count(F.lit(1)).over(same)).where("of > 1")
-    bits = shared.groupBy("line").agg(F.bit_or(F.expr("shiftleft(1, cast(half & 3 as int))")).alias("halves"))
-    near = one.select("line", "at", "n").join(bits, "line")
-    near = written(near.select(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"), F.col("at.line_no").alias("line_no"), "line", "halves"), "near")
-
-    found = _lines(docs, id_col, text_col).withColumnsRenamed({"doc_id": "__d", "th": "__h", "line_no": "__n", "line": "__l"})
-    here = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__h")) & (F.col("line_no") == F.col("__n"))
-    near = found.join(small(near), here).select("line", F.struct("doc_id", "th", "line_no").alias("at"), "halves", words(F.col("__l")).alias("w")).withColumn("n", F.size("w"))
-    near = written(near.dropDuplicates(["line"]), "near")
-
-    keyed = Window.partitionBy("key")
-    met = _variants(near).withColumn("lo", F.min("line").over(keyed)).withColumn("hi", F.max("line").over(keyed)).where("lo <> hi").select("key", "line", "kind").distinct()
-    met = written(met.join(near.select("line", "at"), "line"), "met")
+    one = written(rows.groupBy("line", "h2").agg(F.min("at").alias("at"), F.first("halves").alias("halves")), "lines")
+
+    halves = one.select("line", F.explode("halves").alias("half"))
+    half = F.col("half").bitwiseAND(F.lit(-8))
+    several = halves.groupBy(half.alias("__half")).agg(F.count(F.lit(1)).alias("__of")).where("__of > 1").select("__half")
+    bits = halves.join(several, half == F.col("__half")).groupBy("line").agg(F.bit_or(F.expr("shiftleft(1, cast(half & 7 as int))")).alias("halves"))
+    near = one.select("line", "at").join(bits, "line")
+    near = written(near.groupBy(*_key("at.doc_id", "at.th")).agg(F.collect_list(F.struct("at.line_no", "line", "halves")).alias("near")), "near")
+
+    found = table.join(near, ["k1", "k2"]).select("doc_id", "th", F.split(text, "\n").alias("__lines"), F.explode("near").alias("x"))
+    found = found.select("x.line", F.struct("doc_id", "th", "x.line_no").alias("at"), "x.halves", words(F.get("__lines", F.col("x.line_no"))).alias("w"))
+    near = bucketed(found.dropDuplicates(["line"]), ["line"], "texts")
+
+    as_words = _variants(near.withColumn("__n", F.size("w")), "w", "__n", WORDS)
+    as_chars = _variants(near.where(F.size("w") <= MIN_UNITS).withColumn("c", _characters("w")).withColumn("__n", F.size("c")), "c", "__n", CHARS)
+    made = written(as_words.unionByName(as_chars), "variants")
+    several = made.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("key")
+    met = written(made.join(several, "key").distinct().join(near.select("line", "at"), "line"), "met")
+    # Star links: of each key the earliest line, by kind, stands for all.
     who = F.struct("at", "line")
     groups = met.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, who)).alias(f"w{k}") for k in (WHOLE, SHORTER, MASKED)])
     other = F.when(F.col("kind") == WHOLE, F.col(f"w{SHORTER}")).when(F.col("kind") == SHORTER, F.col(f"w{WHOLE}")).otherwise(F.col(f"w{MASKED}"))
     pairs = met.join(groups, "key").select("line", "at", other.alias("first")).where(F.col("first.at") < F.col("at"))
     pairs = pairs.select("line", F.col("first.line").alias("earlier")).distinct()
     mine, theirs = near.select("line", "w"), near.select(F.col("line").alias("earlier"), F.col("w").alias("v"))
-    losers = pairs.join(mine, "line").join(theirs, "earlier").where(one_edit(F.col("w"), F.col("v"))).select("line").distinct()
+    chars = F.when(F.least(F.size("w"), F.size("v")) < MIN_UNITS, one_edit(_characters("w"), _characters("v")))
+    losers = pairs.join(mine, "line").join(theirs, "earlier").where(one_edit(F.col("w"), F.col("v")) | F.coalesce(chars, F.lit(False))).select("line").distinct()
     stay = one.join(losers, "line", "left_anti")
-    return stay.select("at.doc_id", "at.th", "at.line_no")
+    return stay.groupBy(*_key("at.doc_id", "at.th")).agg(F.collect_list("at.line_no").alias("keep"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds n_lines, n_removed and kept_text to every row of `docs`.
 
-    A line with a word goes if an earlier line, by (id, line number), has the same words in order or, where both have
-    MIN_EDIT_WORDS words, differs by one word put in, taken out or exchanged; an earlier line counts whether it
+    A line with a word goes if an earlier line, by (id, line number), has the same words in order or is one edit away, where an edit is a
+    fifth of the longer line at most: one word put in, taken out or exchanged, the longer of MIN_UNITS words or more; or one character,
+    the shorter of fewer words, the longer of MIN_UNITS characters or more. An earlier line counts whether it
     stays or not. Lines without a word stay. So of any group of copies the earliest stays, and the result doesn't depend on the
-    order of work. White space within a line doesn't count, all else does.
+    order of work. White space within a line counts as one space, all else as it is.
 
     Null and empty texts have no lines to lose and give an empty kept_text. Null ids come before all others; rows equal in id and text are
-    one document and fare alike; documents that share only the id go by a hash of the text. An empty table gives
-    an empty table. Columns of `docs` are kept, but for ones named as those added.
+    one document and fare alike; documents that share only the id go by a hash of the text. Very long texts and lines cost as much a word
+    as short ones. An empty table gives an empty table. Columns of `docs` are kept, whatever their names, but for ones named as those added.
     """
-    kept = kept_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).agg(F.collect_set("line_no").alias("__keep"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.drop("n_lines", "n_removed", "kept_text").withColumn("__th", F.xxhash64(text))
-    joined = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left")
-    lines = joined.withColumn("__lines", F.split(text, "\n")).withColumn("__keep", F.coalesce("__keep", F.array().cast("array<int>")))
+    added = ("n_lines", "n_removed", "kept_text")
+    row = F.struct(*[F.col(c) for c in docs.columns if c not in added or c in (id_col, text_col)])
+    rows = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    # The texts are dealt out once, by document, for all that is joined to them.
+    table = bucketed(rows.select("*", *_key("doc_id", "th")), ["k1", "k2"], "documents")
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    joined = table.join(_kept_lines(table, text), ["k1", "k2"], "left").select("row", text.alias("text"), F.coalesce("keep", F.array().cast("array<int>")).alias("keep"))
+    lines = joined.withColumn("lines", F.split("text", "\n"))
     blank = lambda x: F.btrim(x, F.lit(SPACE)) == ""
-    worded = F.size(F.filter("__lines", lambda x: ~blank(x)))
-    lines = lines.withColumn("__n", worded).withColumn("__all", F.size("__keep") == F.col("__n"))
+    lines = lines.withColumn("n", F.size(F.filter("lines", lambda x: ~blank(x)))).withColumn("all", F.size("keep") == F.col("n"))
     # A set would be searched line by line; sorted together, a kept place precedes its line.
-    lines = lines.withColumn("__marks", F.when(~F.col("__all"), F.sort_array(F.concat(F.transform("__keep", lambda k: F.struct(k.alias("k"), F.lit(0).alias("z"), F.lit("").alias("l"))), F.transform("__lines", lambda x, k: F.struct(k.alias("k"), F.lit(1).alias("z"), x.alias("l")))))))
-    stays = lambda x, j: (x["z"] == 1) & (blank(x["l"]) | ((j > 0) & (F.get(F.col("__marks"), j - 1)["z"] == 0)))
-    rest = F.array_join(F.transform(F.filter("__marks", stays), lambda x: x["l"]), "\n")
-    out = F.struct(F.col("__n").cast("long").alias("n_lines"), (F.col("__n") - F.size("__keep")).cast("long").alias("n_removed"), F.when(F.col("__all"), text).otherwise(rest).alias("kept_text"))
+    lines = lines.withColumn("marks", F.when(~F.col("all"), F.sort_array(F.concat(F.transform("keep", lambda k: F.struct(k.alias("k"), F.lit(0).alias("z"), F.lit("").alias("l"))), F.transform("lines", lambda x, k: F.struct(k.alias("k"), F.lit(1).alias("z"), x.alias("l")))))))
+    stays = lambda x, j: (x["z"] == 1) & (blank(x["l"]) | ((j > 0) & (F.get(F.col("marks"), j - 1)["z"] == 0)))
+    rest = F.array_join(F.transform(F.filter("marks", stays), lambda x: x["l"]), "\n")
+    out = F.struct(F.col("n").cast("long").alias("n_lines"), (F.col("n") - F.size("keep")).cast("long").alias("n_removed"), F.when(F.col("all"), F.col("text")).otherwise(rest).alias("kept_text"))
     # Through an explode of one, which filters on the result aren't pushed below, into the lambdas above.
-    held = [F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")]
-    return lines.select(*held, F.explode_outer(F.array(out)).alias("__out")).select(*held, "__out.*")
+    done = lines.select("row", F.explode_outer(F.array(out)).alias("out"))
+    held = [F.col("row")[c].alias(c) for c in docs.columns if c not in added]
+    return done.select(*held, "out.*")

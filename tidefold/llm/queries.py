@@ -23,7 +23,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scanned(table(spark, sf_dir, "documents"))
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("n_passages")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
