@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidefold.llm import ranking
 from tidefold.llm.common import written
 
 #: The template's marks around a turn.
@@ -18,6 +19,9 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Control strings that no formatted text or role may contain but as marks.
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
+#: Steps of a score, and turns, that leaves and rows are ranked in.
+SCORE_STEPS, TURNS = 64, 4096
+
 #: What stands for the first character of a control string, and for a line feed in a role.
 ENTITIES = (("<", "&lt;"), ("[", "&lsqb;"), ("\n", "&nl;"), ("&", "&amp;"))
 
@@ -68,8 +72,10 @@ def leaf_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     whole = steps[-1].where("to is null")
     parents = steps[0].where("to is not null").select(F.col("to").alias("node")).distinct()
     leaves = whole.join(parents, "node", "left_anti")
-    order = Window.partitionBy("node.t").orderBy((F.col("total") / F.col("n")).desc(), F.col("n").desc(), F.col("node.k"))
-    leaves = leaves.withColumn("rank", F.row_number().over(order))
+    mean = F.col("total") / F.col("n")
+    leaves = leaves.withColumn("t", F.col("node.t")).withColumn("b", -F.floor(mean * SCORE_STEPS))
+    # In steps of the score, so a tree of any number of leaves isn't one task's.
+    leaves = ranking.ranked(leaves, ["t"], "b", [mean.desc(), F.col("n").desc(), F.col("node.k")], "rank", "of").withColumn("rank", (F.col("rank") + 1).cast("int"))
     if branches is not None:
         leaves = leaves.where(F.col("rank") <= branches)
     paths = leaves.select(F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up"))
@@ -127,7 +133,8 @@ def read_back(conversations: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+                text, spans = text.as_py(), spans.as_py()
                 turns = parsed(text)
                 said = "".join(f"{role}\n{body}\n" for role, body in turns)
                 loss = "".join(unescaped(text[s["begin"] : s["end"]]) for s in spans)
@@ -144,7 +151,7 @@ def as_replies(conversations: DataFrame) -> DataFrame:
     Rows of a conversation go by turn, then role and text, nulls first; so repeated rows follow each other. A null
     conv_id is a conversation too.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    at = F.row_number().over(order).cast("long")
-    rows = conversations.select(F.col("conv_id").alias("tree"), at.alias("id"), "role", "text")
+    rows = conversations.select(F.col("conv_id").alias("tree"), "turn", "role", "text", F.floor(F.col("turn") / TURNS).alias("b"))
+    # In runs of turns, so a conversation of any length isn't one task's.
+    rows = ranking.ranked(rows, ["tree"], "b", [F.col("turn"), F.col("role"), F.col("text")], "id", "of").withColumn("id", F.col("id") + 1)
     return rows.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
