@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm import components, golay
+from tidefold.llm import components, golay, minhash
 from tidefold.llm.common import written
 
 #: Words of a shingle, the seed of their hash, differing bits of a link, shingles counted at once.
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__t")).mapInArrow(run, f"doc_id {kind}, fp long")
@@ -125,19 +125,21 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"]) if len(pairs) else None
 
-    key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    held, last = [], None  # batches of the key that may go on, put together once it ends
     for batch in batches:
         k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
         if not len(k):
             continue
-        key, fp = np.concatenate([key, k]), np.concatenate([fp, f])
-        if key[0] == key[-1]:
+        if last is None or last == k[-1]:
+            held.append((k, f))
+            last = k[-1]
             continue
-        last = int(np.searchsorted(key, key[-1]))  # the last key may go on
-        if (out := links(key[:last], fp[:last])) is not None:
+        cut = int(np.searchsorted(k, k[-1]))
+        held.append((k[:cut], f[:cut]))
+        if (out := links(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))) is not None:
             yield out
-        key, fp = key[last:], fp[last:]
-    if len(key) and (out := links(key, fp)) is not None:
+        held, last = [(k[cut:], f[cut:])], k[-1]
+    if held and (out := links(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))) is not None:
         yield out
 
 
@@ -149,7 +151,8 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     whole neighbourhoods, so links grow with the nodes and not with their square; a key's nodes are 8 bytes each in its task.
 
     Null and empty texts have fingerprint zero, linked like any other. Null ids never name a component that has another id; repeated
-    rows are given each; an empty table gives an empty table.
+    rows are given each; very long texts are read whole, some shingles at once; an empty table gives an empty table. Other columns of
+    `docs`, whatever their names, aren't read.
     """
     spark = docs.sparkSession
     table = written(fingerprints(docs, id_col, text_col), "fingerprints")
@@ -164,3 +167,12 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = minhash.SHINGLE, percent: int = minhash.PERCENT) -> DataFrame:
+    """Per row: doc_id, component_id, where texts link whose sets of `shingle`-word shingles have a Jaccard similarity of percent / 100.
+
+    Fingerprints of 64 bits can't give that: texts of similarity 0.8 differ in some 10 bits, and keys that meet 10 errors meet
+    unrelated texts as well (the README has figures). So candidates come from bands of the shingles' minima, and links are verified exactly.
+    """
+    return minhash.clustered(docs, id_col, text_col, shingle, percent)
