@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import BROADCAST_ROWS, written
+from tidefold.llm.common import written
 
 #: Words of a chunk, whose windows are hashed together; bytes of text for each bucket of hashes, about.
 CHUNK_WORDS, BUCKET_BYTES = 1 << 20, 16 << 20
@@ -87,18 +87,18 @@ def _hashed(width: int, buckets: int):
             twice[order[:-1][same]] = True
             first[order[1:][same]] = False
             keys = np.array(docs, dtype=np.int64)
-            yield row(buckets + chunks % buckets, DOCS, keys[:, :2].tobytes(), np.stack([keys[:, 2], keys[:, 3], starts], 1).astype(np.int64).tobytes())
+            # What only passes through the buckets' tasks is dealt out by a hash: tasks all number their chunks from 0.
+            through = buckets + xxhash.xxh3_64_intdigest(f"{task} {chunks}") % buckets
+            yield row(through, DOCS, keys[:, :2].tobytes(), np.stack([keys[:, 2], keys[:, 3], starts], 1).astype(np.int64).tobytes())
             if twice.any():
                 data, wide = _packed(at[twice])
-                yield row(buckets + chunks % buckets, HITS, b"", data, wide)
+                yield row(through, HITS, b"", data, wide)
             at, full, bucket = at[first], full[first], bucket[first]
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            for k in range(buckets):
-                part = order[edges[k] : edges[k + 1]]
-                if len(part):
-                    data, wide = _packed(at[part])
-                    yield row(k, HASHES, full[part].tobytes(), data, wide)
+            filled, edges = np.unique(bucket[order], return_index=True)  # a chunk has at most as many rows as windows, however many buckets there are
+            for k, part in zip(filled.tolist(), np.split(order, edges[1:]), strict=True):
+                data, wide = _packed(at[part])
+                yield row(k, HASHES, full[part].tobytes(), data, wide)
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
@@ -107,8 +107,8 @@ def _hashed(width: int, buckets: int):
 
         runs, docs, held = [], [], 0
         for batch in batches:
-            for k1, k2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.split()
+            for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = text.as_py().split()
                 step = CHUNK_WORDS
                 for lo in range(0, max(len(words) - width + 1, 0), step):
                     piece = words[lo : lo + step + width - 1]
@@ -198,7 +198,7 @@ def spans(docs: DataFrame, width: int = 35) -> DataFrame:
     """Per document (k1, k2, text binary) with repeated windows: k1, k2, and the spans of words they cover.
 
     Each chunk of words sends each window hash once, whatever its count, with its position: so a window that a
-    third of the corpus repeats costs a row a chunk. A bucket's hashes meet in one task, 16 MB of text's worth; hashes agree
+    third of the corpus repeats costs a few bytes a chunk. A bucket's hashes meet in one task, 16 MB of text's worth; hashes agree
     in 64 bits and, independently, in their bucket, so false matches stay below one in ten million million windows.
     """
     spark = docs.sparkSession
@@ -214,8 +214,8 @@ def _applied(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = text.split()
+            for text, parts in zip(batch.column(1), batch.column(2), strict=True):
+                words, parts = text.as_py().split(), parts.as_py()
                 n = len(words)
                 cuts = sorted((b, e) for p in parts or () for b, e in zip(p["begins"], p["ends"], strict=True))
                 if cuts:
@@ -239,15 +239,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A word goes if a window of `width` words that covers it has the same words as a window that starts anywhere
     else, in the same document or another. Windows are judged on the input. Null and empty texts, and texts shorter than a window, keep all they have;
-    repeated rows repeat each other and so lose their windows; an empty table gives an empty table.
+    repeated rows repeat each other and so lose their windows; very long texts go in several chunks; an empty table gives an empty
+    table. Other columns of `docs`, whatever their names, aren't read.
     """
     if width < 1:
         raise ValueError("width must be at least 1")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(F.lit(7), text, F.col(id_col)).alias("k2"), text.cast("binary").alias("text"))
     cut = written(spans(rows, width), "spans")
-    n, parts = cut.agg(F.count(F.lit(1)), F.sum(F.aggregate("parts", F.lit(0), lambda a, x: a + F.size(x["begins"])))).collect()[0]
-    cut = F.broadcast(cut) if n + (parts or 0) <= BROADCAST_ROWS else cut
     joined = rows.join(cut, ["k1", "k2"], "left").select("doc_id", "text", "parts")
     kind = docs.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(_applied(digest), f"doc_id {kind}, n_words long, n_removed long, kept string")
