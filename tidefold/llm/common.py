@@ -59,13 +59,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """`df` as a table in the shared folder, dealt into buckets by `keys`, so that joins and aggregates on just these don't shuffle it again."""
+def bucketed(df: DataFrame, keys: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+    """`df` as a table in the shared folder, dealt into buckets by `keys`, so that joins and aggregates on just these don't shuffle it again.
+
+    And the same as plain files, for joins with hot keys: Spark splits these only where it shuffles both sides.
+    """
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     path, name = new_dir(spark, label), f"tidefold_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name), spark.read.schema(df.schema).parquet(path)
 
 
 def words(text: Column) -> Column:

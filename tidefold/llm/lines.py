@@ -110,7 +110,7 @@ def _kept_lines(table: DataFrame, text: Column) -> DataFrame:
 
     found = table.join(near, ["k1", "k2"]).select("doc_id", "th", F.split(text, "\n").alias("__lines"), F.explode("near").alias("x"))
     found = found.select("x.line", F.struct("doc_id", "th", "x.line_no").alias("at"), "x.halves", words(F.get("__lines", F.col("x.line_no"))).alias("w"))
-    near = bucketed(found.dropDuplicates(["line"]), ["line"], "texts")
+    near, plain = bucketed(found.dropDuplicates(["line"]), ["line"], "texts")
 
     as_words = _variants(near.withColumn("__n", F.size("w")), "w", "__n", WORDS)
     as_chars = _variants(near.where(F.size("w") <= MIN_UNITS).withColumn("c", _characters("w")).withColumn("__n", F.size("c")), "c", "__n", CHARS)
@@ -123,7 +123,8 @@ def _kept_lines(table: DataFrame, text: Column) -> DataFrame:
     other = F.when(F.col("kind") == WHOLE, F.col(f"w{SHORTER}")).when(F.col("kind") == SHORTER, F.col(f"w{WHOLE}")).otherwise(F.col(f"w{MASKED}"))
     pairs = met.join(groups, "key").select("line", "at", other.alias("first")).where(F.col("first.at") < F.col("at"))
     pairs = pairs.select("line", F.col("first.line").alias("earlier")).distinct()
-    mine, theirs = near.select("line", "w"), near.select(F.col("line").alias("earlier"), F.col("w").alias("v"))
+    # Thousands of lines may have the same earlier one.
+    mine, theirs = near.select("line", "w"), plain.select(F.col("line").alias("earlier"), F.col("w").alias("v"))
     chars = F.when(F.least(F.size("w"), F.size("v")) < MIN_UNITS, one_edit(_characters("w"), _characters("v")))
     losers = pairs.join(mine, "line").join(theirs, "earlier").where(one_edit(F.col("w"), F.col("v")) | F.coalesce(chars, F.lit(False))).select("line").distinct()
     stay = one.join(losers, "line", "left_anti")
@@ -147,7 +148,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row = F.struct(*[F.col(c) for c in docs.columns if c not in added or c in (id_col, text_col)])
     rows = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
     # The texts are dealt out once, by document, for all that is joined to them.
-    table = bucketed(rows.select("*", *_key("doc_id", "th")), ["k1", "k2"], "documents")
+    table, _ = bucketed(rows.select("*", *_key("doc_id", "th")), ["k1", "k2"], "documents")
     text = F.coalesce(F.col("row")[text_col], F.lit(""))
     joined = table.join(_kept_lines(table, text), ["k1", "k2"], "left").select("row", text.alias("text"), F.coalesce("keep", F.array().cast("array<int>")).alias("keep"))
     lines = joined.withColumn("lines", F.split("text", "\n"))
