@@ -39,7 +39,7 @@ def shown(state: Column) -> Column:
 
 def partition_of(n: int, *key: Column) -> Column:
     """The partition, of n hash ranges, that an object's key falls in."""
-    return F.floor(F.pmod(F.xxhash64(*key), F.lit((1 << 62))) / F.lit((1 << 62) // n)).cast("int")
+    return F.shiftright(F.shiftrightunsigned(F.xxhash64(*key), 33) * F.lit(n).cast("long"), 31).cast("int")
 
 
 #: SQL types of declared columns, and the kind of object each is kept in.

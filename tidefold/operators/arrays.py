@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidefold.functions.values import packed
 from tidefold.model import OBJECT
@@ -70,8 +72,11 @@ def compared(value: Column, op: str, other) -> Column:
     return {"eq": value == other, "neq": value != other, "lt": value < other, "leq": value <= other, "gt": value > other, "geq": value >= other}[op]
 
 
-def _getter(name: str):
-    return lambda p: F.get(F.col(name), p)
+def _value(df: DataFrame, name: str, pos: Column) -> Column:
+    """An array's value at a position; 0, or empty data, beyond its end."""
+    kind = df.schema[name].dataType.elementType
+    none = F.lit(bytearray()) if isinstance(kind, T.BinaryType) else F.lit("") if isinstance(kind, T.StringType) else F.lit(0).cast(kind)
+    return F.coalesce(F.get(F.col(name), pos), none)
 
 
 @dataclass(frozen=True)
@@ -84,14 +89,14 @@ class MultiArray:
         return self.df.select("key", *(names or ("ints", "floats", "data", "sums", "counts")))
 
     def position(self, **at: int) -> DataFrame:
-        """The value of each named array at a position, as the array's name."""
-        return self.df.select("key", *[F.get(F.col(n), F.lit(p)).alias(n) for n, p in at.items()])
+        """The value of each named array at a position, as the array's name; 0 or empty beyond its end."""
+        return self.df.select("key", *[_value(self.df, n, F.lit(p)).alias(n) for n, p in at.items()])
 
     def range(self, **at: tuple[int, int]) -> DataFrame:
         return self.df.select("key", *[span(F.col(n), *r).alias(n) for n, r in at.items()])
 
     def sub(self, **at: list[int]) -> DataFrame:
-        return self.df.select("key", *[F.transform(F.array(*map(F.lit, ps)), _getter(n)).alias(n) for n, ps in at.items()])
+        return self.df.select("key", *[F.array(*[_value(self.df, n, F.lit(p)) for p in ps]).alias(n) for n, ps in at.items()])
 
     def custom(self, **at: list[int]) -> DataFrame:
         return self.df.select("key", *[c.alias(n) for n, ps in at.items() if (c := custom(F.col(n), ps)) is not None])
@@ -136,8 +141,24 @@ def multi_array(ops: DataFrame, by: list[str] = OBJECT) -> DataFrame:
     return whole.select(*by, dense("ints", "i", F.lit(0)).alias("ints"), dense("floats", "f", F.lit(0.0)).alias("floats"), dense("data", "d", None).alias("data"), dense("sums", "i", F.lit(0)).alias("sums"), dense("sums", "n", F.lit(0)).alias("counts"))
 
 
-def spread(positions: tuple[int, int] | list[int], changes: list) -> list[tuple[int, object]]:
-    """(position, change) of an operation on several positions; one change serves all."""
-    if isinstance(positions, tuple):
-        positions = list(range(positions[0], positions[1] + 1))
-    return list(zip(positions, changes * len(positions) if len(changes) == 1 else changes, strict=True))
+def spread(ops: DataFrame, positions: Column, changes: Column, value: str = "long_val") -> DataFrame:
+    """Operations on several positions as one for each: `positions` and `changes` are arrays; a single change serves all positions.
+
+    A range, both ends included, is `F.sequence(begin, end)`.
+    """
+    each = F.transform(positions, lambda p, k: F.struct(p.cast("int").alias("p"), F.get(changes, F.when(F.size(changes) == 1, F.lit(0)).otherwise(k)).alias("v")))
+    rows = ops.drop("pos", value).withColumn("__each", F.explode(each))
+    return rows.withColumns({"pos": F.col("__each.p"), value: F.col("__each.v")}).drop("__each")
+
+
+def initial(rows: DataFrame, by: list[str] = OBJECT) -> DataFrame:
+    """Whole rows (by, ts, replica, ints, floats, data, sums, counts) as the operations that make them, so that later ones add to them."""
+    none = lambda kind: F.lit(None).cast(kind)
+    held = [*by, "ts", "replica"]
+    parts = []
+    for op, array, column in (("inc_int", F.col("ints"), "long_val"), ("inc_float", F.col("floats"), "dbl_val"), ("set_data", F.col("data"), "bin_val"), ("inc_avg", F.arrays_zip("sums", "counts"), "")):
+        x = rows.select(*held, F.posexplode(array).alias("pos", "v"))
+        value = {column: F.col("v")} if column else {"long_val": F.col("v.sums"), "n_adds": F.col("v.counts")}
+        kinds = {"long_val": "bigint", "dbl_val": "double", "n_adds": "bigint", "bin_val": "binary"}
+        parts.append(x.select(*held, F.lit(op).alias("op"), none("string").alias("elem"), "pos", *[value.get(c, none(k)).cast(k).alias(c) for c, k in kinds.items()]))
+    return reduce(DataFrame.unionByName, parts)

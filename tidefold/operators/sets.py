@@ -55,8 +55,8 @@ def cardinality(elements: DataFrame, by: list[str]) -> DataFrame:
 
 
 def with_pending(elements: DataFrame, pending: DataFrame, by: list[str], order: str = "ts") -> DataFrame:
-    """A set as its own transaction sees it: the last pending operation on each element decides."""
-    last = pending.groupBy(*by, "elem").agg(F.max_by("op", order).alias("__op"))
+    """A set as its own transaction sees it: the last pending operation on each element decides, of equal ones an addition."""
+    last = pending.groupBy(*by, "elem").agg(F.max_by("op", F.struct(F.col(order), F.col("op") == "add")).alias("__op"))
     kept = elements.select(*by, "elem").join(last, [*by, "elem"], "left_anti")
     return kept.unionByName(last.where(F.col("__op") == "add").select(*by, "elem"))
 
@@ -69,6 +69,11 @@ def observed_map(ops: DataFrame, by: list[str] = OBJECT) -> DataFrame:
     return left.groupBy(*by, "map_key").agg(F.min("elem").alias("value"))
 
 
+def grow_only_map(ops: DataFrame, by: list[str] = OBJECT, order: tuple[str, ...] = ("ts", "replica")) -> DataFrame:
+    """by, map_key, value: the latest write of each entry; entries never go, whatever asks for it."""
+    return last_writer(ops.where("op = 'add'"), [*by, "map_key"], "elem", order)
+
+
 def as_maps(entries: DataFrame, by: list[str]) -> DataFrame:
     """by, entries: each object as one map."""
     return entries.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("map_key", "value")))).alias("entries"))
