@@ -177,15 +177,16 @@ class Table:
         return after(Table(self.df.crossJoin(F.broadcast(row)), self.key))
 
     def applied(self, ops: DataFrame, values: list[str], clock: str = "clk") -> DataFrame:
-        """The table after a log of upserts and removes (op, key columns, values, ts, clk): removes win over what they
-        are concurrent with, and of the upserts that are left the latest gives the row."""
+        """The table after a log of upserts and removes (op, key columns, values, ts, clk, and replica if there are several): removes win
+        over what they are concurrent with, and of the upserts that are left the latest gives the row, of equal ones the larger replica's."""
         log = ops.withColumn("map_key", F.concat_ws("_", *[F.col(k).cast("string") for k in self.key])).withColumn("__o", F.lit(0))
         left = sets.remove_wins(log, ["__o"], clock)
-        old = self.df.select(*self.key, *values, F.lit(-1).cast("bigint").alias("ts"))
+        old = self.df.select(*self.key, *values, F.lit(-1).cast("bigint").alias("ts"), F.lit(-1).cast("bigint").alias("__r"))
+        replica = F.col("replica").cast("bigint") if "replica" in ops.columns else F.lit(0).cast("bigint")
         gone = log.where("op = 'rem'").select(*self.key).distinct()
         old = old.join(gone, list(self.key), "left_anti")
-        both = old.unionByName(left.select(*self.key, *values, F.col("ts").cast("bigint").alias("ts")))
-        return both.groupBy(*self.key).agg(F.max_by(F.struct(*values), "ts").alias("__v")).select(*self.key, "__v.*")
+        both = old.unionByName(left.select(*self.key, *values, F.col("ts").cast("bigint").alias("ts"), replica.alias("__r")))
+        return both.groupBy(*self.key).agg(F.max_by(F.struct(*values), F.struct("ts", "__r")).alias("__v")).select(*self.key, "__v.*")
 
 
 def _aggregates(kind: str, value: Column, out: str) -> list[Column]:

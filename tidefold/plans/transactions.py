@@ -47,7 +47,8 @@ class Transaction:
         return fold(self.snapshot if self.pending is None else self.snapshot.unionByName(self.pending, allowMissingColumns=True))
 
     def commit(self, path: str | None = None) -> DataFrame:
-        """The log with the writes; with `path`, they are appended to the log's table there in one job, all or none."""
+        """The log with the writes; with `path`, they are appended to the log's table there in one job: all or
+        none where the store renames files atomically, as HDFS does; on others readers may see part of a job that is under way."""
         self._check()
         self.open = False
         if self.pending is None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidefold.functions.values import matches
+from tidefold.sources.scratch import delete
 
 Fold = Callable[[DataFrame], DataFrame]
 
@@ -23,12 +24,14 @@ def source(spark: SparkSession, path: str, schema, files_a_trigger: int | None =
     return reader.parquet(path)
 
 
-def maintain(stream: DataFrame, partial: Fold, merge: Fold, state_dir: str, checkpoint: str, interval: str | None = None):
+def maintain(stream: DataFrame, partial: Fold, merge: Fold, state_dir: str, checkpoint: str, interval: str | None = None, keep: int = 2):
     """Keeps `merge` of all batches' `partial`s as versions under `state_dir`, one a batch.
 
     A batch writes a version under its own number from the one before; a batch that runs again overwrites its own
-    version, so each operation counts once.
+    version, so each operation counts once. Of the versions the last `keep` stay: two at least, for a batch may run again.
     """
+    if keep < 2:
+        raise ValueError("keep must be at least 2")
     spark = stream.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
@@ -37,6 +40,8 @@ def maintain(stream: DataFrame, partial: Fold, merge: Fold, state_dir: str, chec
             old = spark.read.parquet(f"{state_dir}/v{number - 1}")
             new = merge(old.unionByName(new))
         new.write.mode("overwrite").parquet(f"{state_dir}/v{number}")
+        if number >= keep:
+            delete(spark, f"{state_dir}/v{number - keep}")
 
     writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
@@ -124,8 +129,3 @@ def sliding(events: DataFrame, ts: str, width: str, slide: str, by: list[str], *
 
 def sessions(events: DataFrame, ts: str, gap: str, by: list[str], *aggregates) -> DataFrame:
     return events.groupBy(F.session_window(ts, gap), *by).agg(*aggregates)
-
-
-def expiring(stream: DataFrame, ts: str, late: str) -> DataFrame:
-    """Late data up to `late` counts, state below that is dropped."""
-    return stream.withWatermark(ts, late)
