@@ -90,6 +90,37 @@ def test_bounded_counter_refuses_beyond_rights(spark):
     assert (out["value"], out["bound"], out["refused"], out["rights"]) == (8, 0, 2, {0: 1, 1: 7})
 
 
+def test_bounded_counter_is_exact_and_rebalances(spark):
+    big = (1 << 53) + 1
+    data = [("k", "bound_strict", 0, 11, None, 0, 1), ("k", "inc", big, 0, None, 1, 2), ("k", "inc", None, None, None, 1, 3), ("k", "rebalance", None, None, None, 0, 4), ("k", "rebalance", None, None, None, 1, 5)]
+    ops = spark.createDataFrame(data, "key string, op string, long_val long, n_adds long, id long, replica short, ts long")
+    out = ordered.bounded_counter(ops, KEY, ["ts"], [0, 1]).collect()[0]
+    assert (out["value"], out["bound"], out["rights"]) == (big + 11, 1, {0: 5 + big // 2, 1: 5 + big - big // 2})
+
+
+def test_array_totals_are_exact(spark):
+    data = [("k", "inc", 0, (1 << 53) + 1, 1), ("k", "inc_all", None, 1, 2), ("k", "inc", 1, None, 3), ("n", "inc_all", None, 4, 1), (None, "inc", 1, 5, 1), (None, "dec_all", None, 2, 2)]
+    got = {r["key"]: r["counts"] for r in ordered.counter_array(spark.createDataFrame(data, "key string, op string, pos int, long_val long, ts long"), KEY, ["ts"]).collect()}
+    assert got == {"k": [(1 << 53) + 2, 0], "n": [], None: [-2, 3]}
+
+
+def test_partitions_cover_their_range(spark):
+    for n in (1, 3, 16):
+        got = spark.range(5000).select(values.partition_of(n, F.col("id")).alias("p")).groupBy("p").count().collect()
+        assert {r["p"] for r in got} == set(range(n)) and max(r["count"] for r in got) < 1.3 * 5000 / n
+
+
+def test_map_that_only_grows(spark):
+    ops = spark.createDataFrame([("k", "add", "e", "x", 1, 0), ("k", "add", "e", "y", 2, 0), ("k", "add", "e", "z", 2, 1), ("k", "rem", "e", None, 9, 0)], "key string, op string, map_key string, elem string, ts long, replica int")
+    assert rows(sets.grow_only_map(ops, KEY)) == [("k", "e", "z")]
+
+
+def test_pending_operations_of_equal_time(spark):
+    held = spark.createDataFrame([("k", "x")], "key string, elem string")
+    pending = spark.createDataFrame([("k", "y", "rem", 1), ("k", "y", "add", 1), ("k", "x", "rem", 1)], "key string, elem string, op string, ts long")
+    assert rows(sets.with_pending(held, pending, KEY)) == [("k", "y")]
+
+
 def test_array_operations_on_all_positions(spark):
     data = [("k", "inc", 2, 1, 1), ("k", "inc_all", None, 10, 2), ("k", "set_size", 5, None, 3), ("k", "dec_all", None, 1, 4)]
     ops = spark.createDataFrame(data, "key string, op string, pos int, long_val long, ts long")

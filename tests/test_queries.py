@@ -51,11 +51,10 @@ def test_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_ordered_queries_have_rows(spark):
-    for name in set(catalogue.QUERIES) - set(catalogue.ORACLE):
-        assert catalogue.QUERIES[name](spark, PATH).count() > 0
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLE)
 
 
 def test_every_event_gets_a_replicate_verdict(spark):
-    got = catalogue.QUERIES["topk_replicate_all"](spark, PATH)
+    got = catalogue.QUERIES["topk_replicate"](spark, PATH)
     assert got.count() == got.where("replicate is not null").count() == spark.read.parquet(f"{PATH}/events.parquet").count()

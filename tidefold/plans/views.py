@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Tables = Callable[[str], DataFrame]
@@ -18,9 +19,20 @@ def revenue():
     return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
+def money_state(amount, digits: int = 4):
+    """The exact sum, a decimal, of amounts that have so many decimals.
+
+    Amounts are added as integers, in two parts of which neither overflows below 10^12 rows; decimals only come in at the end.
+    """
+    units = F.rint(amount * 10.0**digits).cast("bigint")
+    part = lambda x: F.sum(x).cast("decimal(20,0)")
+    whole = part(F.shiftright(units, 20)) * F.lit(Decimal(1 << 20)) + part(units.bitwiseAND(F.lit((1 << 20) - 1)))
+    return (whole * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(38,{digits})")
+
+
 def money(amount, digits: int = 4):
     """The sum of amounts that have so many decimals, whatever the order of addition."""
-    return F.sum(F.round(amount, digits).cast(f"decimal(18,{digits})")).cast("double")
+    return money_state(amount, digits).cast("double")
 
 
 def _day(text: str):
@@ -60,6 +72,19 @@ def q3(t: Tables, segment: str = "BUILDING", day: str = "1998-03-15", k: int = 1
 
 def q5(t: Tables) -> DataFrame:
     """Revenue by region, nation and order year of sales within the customer's own nation."""
+    return q5_shown(q5_state(t))
+
+
+def q5_merged(states: DataFrame) -> DataFrame:
+    return states.groupBy("r_name", "n_name", "o_year").agg(F.sum("revenue").cast("decimal(38,4)").alias("revenue"))
+
+
+def q5_shown(state: DataFrame) -> DataFrame:
+    return state.withColumn("revenue", F.col("revenue").cast("double"))
+
+
+def q5_state(t: Tables) -> DataFrame:
+    """The view's state, exact, so that states of parts of the lines can be merged."""
     nations = nation_regions(t).select("n_nationkey", "n_name", "r_name")
     supp = t("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name", "r_name")
     orders = t("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"))
@@ -67,7 +92,7 @@ def q5(t: Tables) -> DataFrame:
     items = t("lineitem").select("l_orderkey", "l_suppkey", revenue().alias("r")).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
     return (
         items.join(bought, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
-        .groupBy("r_name", "n_name", "o_year").agg(money(F.col("r")).alias("revenue"))
+        .groupBy("r_name", "n_name", "o_year").agg(money_state(F.col("r")).alias("revenue"))
     )
 
 
@@ -123,9 +148,10 @@ def q14(t: Tables) -> DataFrame:
 
 def q15(t: Tables) -> DataFrame:
     """The best supplier of each quarter."""
-    items = t("lineitem").select("l_suppkey", F.concat(F.year("l_shipdate"), F.lit("Q"), F.quarter("l_shipdate")).alias("quarter"), revenue().alias("r"))
-    sums = items.groupBy("quarter", "l_suppkey").agg(money(F.col("r")).alias("total_revenue"))
-    best = sums.withColumn("p", F.row_number().over(Window.partitionBy("quarter").orderBy(F.col("total_revenue").desc(), "l_suppkey"))).where("p = 1")
+    items = t("lineitem").select("l_suppkey", F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"), revenue().alias("r"))
+    sums = items.groupBy("y", "q", "l_suppkey").agg(money(F.col("r")).alias("total_revenue"))
+    best = sums.groupBy("y", "q").agg(F.max(F.struct("total_revenue", (-F.col("l_suppkey")).alias("s"))).alias("b"))
+    best = best.select(F.concat("y", F.lit("Q"), "q").alias("quarter"), (-F.col("b.s")).alias("l_suppkey"), "b.total_revenue")
     return best.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("quarter", "s_suppkey", "s_name", "total_revenue")
 
 
@@ -159,12 +185,12 @@ def q19v(t: Tables) -> DataFrame:
     return items.join(part, F.col("l_partkey") == F.col("p_partkey")).where(test).groupBy("p_brand").agg(money(F.col("r")).alias("revenue"))
 
 
-def q22v(t: Tables) -> DataFrame:
-    """By nation, customers without orders whose balance is above the mean of the positive ones."""
+def q22v(t: Tables, since: str = "2001-01-01") -> DataFrame:
+    """By nation, customers without orders since a day whose balance is above the mean of the positive ones."""
     cust = t("customer")
     mean = cust.where("c_acctbal > 0").agg(F.avg("c_acctbal").alias("mean"))
     rich = cust.crossJoin(F.broadcast(mean)).where("c_acctbal > mean")
-    idle = rich.join(t("orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    idle = rich.join(t("orders").where(F.col("o_orderdate") >= _day(since)).select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return idle.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("numcust"), F.round(F.sum("c_acctbal"), 2).alias("totacctbal"))
 
 
@@ -178,7 +204,11 @@ def local_parts(t: Tables) -> DataFrame:
 
 def local_to_global(t: Tables) -> DataFrame:
     """The global view as the merge of the regions' local ones."""
-    whole = local_parts(t).groupBy("l_returnflag").agg(F.sum("sum").alias("sum_qty"), F.sum("n_adds").alias("n"), F.max("top").alias("max_qty"))
+    return merged_parts(local_parts(t))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    whole = parts.groupBy("l_returnflag").agg(F.sum("sum").alias("sum_qty"), F.sum("n_adds").alias("n"), F.max("top").alias("max_qty"))
     return whole.withColumn("avg_qty", F.round(F.col("sum_qty") / F.col("n"), 6))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.operators import counters
-from tidefold.plans.views import VIEWS
+from tidefold.plans.views import VIEWS, q5_merged, q5_shown, q5_state, reader
 from tidefold.queries.base import ORACLE, QUERIES, query
 from tidefold.queries.folds import SIGN
 from tidefold.sources import eventlog as log
@@ -30,7 +30,7 @@ VIEW_SQL = {
     "q13v": "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1) GROUP BY 1",
     "q17v": "SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM lineitem l JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#11' AND l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)",
     "q19v": f"SELECT p_brand, {MONEY} AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey WHERE (p_size BETWEEN 1 AND 5 AND l_quantity BETWEEN 1 AND 11) OR (p_size BETWEEN 6 AND 15 AND l_quantity BETWEEN 10 AND 20) OR (p_size BETWEEN 16 AND 50 AND l_quantity BETWEEN 20 AND 30) GROUP BY 1",
-    "q22v": "SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1",
+    "q22v": "SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01') GROUP BY 1",
     "local_to_global": "SELECT l_returnflag, sum(l_quantity) AS sum_qty, count(*) AS n, max(l_quantity) AS max_qty, round(avg(l_quantity), 6) AS avg_qty FROM lineitem GROUP BY 1",
 }
 
@@ -77,15 +77,32 @@ def trigger_fire(spark: SparkSession, path: str):
     return streams.latest(spark, f"{at}/state")
 
 
-@_registered("causal_buffer", "SELECT event_id, replica, event_id // 3 + 1 AS op_ts, true AS in_order FROM (SELECT event_id, (event_id % 3)::SMALLINT AS replica FROM events)")
+@_registered("q5_stream", VIEW_SQL["q5"])
+def q5_stream(spark: SparkSession, path: str):
+    """The revenue view, maintained by a stream of lines over the tables they refer to."""
+    at, tables = scratch(spark, "q5"), reader(spark, path)
+    lines = streams.source(spark, f"{path}/lineitem.parque[t]", tables("lineitem").schema)
+    partial = lambda batch: q5_state(lambda name: batch if name == "lineitem" else tables(name))
+    streams.maintain(lines, partial, q5_merged, f"{at}/state", f"{at}/checkpoint").awaitTermination()
+    return q5_shown(streams.latest(spark, f"{at}/state"))
+
+
+@_registered("causal_buffer", "SELECT site, event_id, replica, event_id // 3 + 1 AS op_ts, true AS in_order, event_id // 3 + 1 > 2 AS waits FROM (SELECT event_id, (event_id % 3)::SMALLINT AS replica FROM events), (SELECT unnest([0, 1, 2])::SMALLINT AS site)")
 def causal_buffer(spark: SparkSession, path: str):
-    """Operations of a stream, delivered in an order that respects their clocks."""
+    """Operations of a stream, delivered at each replica's site in an order that respects their clocks.
+
+    `in_order`: all of the own replica's earlier operations, and the one of the next replica that the clock names (`waits`), came before.
+    """
     at = scratch(spark, "causal")
-    ops = log.operations(_events(spark, path)).select(F.lit("site").alias("site"), "event_id", "replica", "op_ts", "clk")
-    got = streams.deliver(ops, "site", "replica", "op_ts", "clk", "event_id long, replica short, op_ts long")
+    sites = F.explode(F.array(*[F.lit(r).cast("smallint") for r in log.REPLICAS]))
+    ops = log.operations(_events(spark, path)).select(sites.alias("site"), "event_id", "replica", "op_ts", "clk")
+    got = streams.deliver(ops, "site", "replica", "op_ts", "clk", "site short, event_id long, replica short, op_ts long")
     got.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{at}/out").start().awaitTermination()
-    before = F.count(F.lit(1)).over(Window.partitionBy("replica").orderBy("seq"))
-    return spark.read.parquet(f"{at}/out").withColumn("in_order", before == F.col("op_ts")).drop("seq")
+    before = F.count(F.lit(1)).over(Window.partitionBy("site", "replica").orderBy("seq"))
+    rows = spark.read.parquet(f"{at}/out").withColumn("own", before == F.col("op_ts"))
+    seen = rows.select("site", F.col("replica").alias("__r"), F.col("op_ts").alias("__t"), F.col("seq").alias("__s"))
+    rows = rows.withColumns({"__r": ((F.col("replica") + 1) % 3).cast("smallint"), "__t": F.when(F.col("op_ts") > 2, F.col("op_ts") - 2)}).join(seen, ["site", "__r", "__t"], "left")
+    return rows.select("site", "event_id", "replica", "op_ts", (F.col("own") & (F.col("__t").isNull() | (F.col("__s") < F.col("seq")))).alias("in_order"), F.col("__t").isNotNull().alias("waits"))
 
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS begins, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

@@ -74,7 +74,25 @@ def max_min(t):
     return counters.max_min(log.clamps(t("events")), KEY, order=["event_id"])
 
 
-@query(None)
+def _rights(k: int) -> str:
+    return f"""r{k} + CASE WHEN op = 'inc' AND rep = {k} THEN amt WHEN op = 'dec' AND rep = {k} AND amt <= mine THEN -amt
+      WHEN op = 'transfer' AND amt <= mine // 2 THEN (dest = {k})::BIGINT * amt - (rep = {k})::BIGINT * amt
+      WHEN op = 'rebalance' AND mine < v // 3 // 2 THEN (rep = {k})::BIGINT * ask - (richest = {k})::BIGINT * ask ELSE 0 END AS r{k}"""
+
+
+@query(
+    f"""WITH RECURSIVE x AS (
+      SELECT user_id AS u, event_id % 3 AS rep, (event_id + 1) % 3 AS dest, floor(value)::BIGINT + 1 AS amt, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+        CASE WHEN event_id % 11 = 0 THEN 'rebalance' WHEN event_type IN ('purchase', 'error') THEN 'dec' WHEN event_type = 'signup' THEN 'transfer' ELSE 'inc' END AS op FROM events),
+    f AS (
+      SELECT DISTINCT u, 0::BIGINT AS n, 0::BIGINT AS v, 0::BIGINT AS r0, 0::BIGINT AS r1, 0::BIGINT AS r2, 0::BIGINT AS refused FROM x
+      UNION ALL
+      SELECT u, n, v + CASE WHEN op = 'inc' THEN amt WHEN op = 'dec' AND amt <= mine THEN -amt ELSE 0 END, {_rights(0)}, {_rights(1)}, {_rights(2)},
+        refused + ((op = 'dec' AND amt > mine) OR (op = 'transfer' AND amt > mine // 2))::BIGINT
+      FROM (SELECT *, least((greatest(r0, r1, r2) - mine) // 2, v - mine) AS ask, CASE WHEN r0 >= r1 AND r0 >= r2 THEN 0 WHEN r1 >= r2 THEN 1 ELSE 2 END AS richest
+        FROM (SELECT x.u, x.n, f.v, f.r0, f.r1, f.r2, f.refused, x.op, x.amt, x.rep, x.dest, CASE x.rep WHEN 0 THEN f.r0 WHEN 1 THEN f.r1 ELSE f.r2 END AS mine FROM f JOIN x ON x.u = f.u AND x.n = f.n + 1)))
+    SELECT u AS key, arg_max(v, n) AS value, arg_max(refused, n) AS refused, arg_max(r0, n) AS rights_0, arg_max(r1, n) AS rights_1, arg_max(r2, n) AS rights_2 FROM f GROUP BY u"""
+)
 def bounded_counter(t):
     out = ordered.bounded_counter(log.rights(t("events")), KEY, ["event_id"], log.REPLICAS)
     return out.select("key", "value", "refused", *[F.col("rights")[F.lit(r)].alias(f"rights_{r}") for r in log.REPLICAS])
@@ -130,8 +148,9 @@ def ormap_reads(t):
 
 
 @query(
-    f"""WITH {OPS} SELECT a.user_id % 4 AS key, a.user_id::VARCHAR AS map_key, count(*) AS value FROM cl a LEFT JOIN {REM.format('error')} r ON a.user_id = r.u
-    WHERE a.event_type <> 'error' AND (r.u IS NULL OR (a.c0 >= r.m0 AND a.c1 >= r.m1 AND a.c2 >= r.m2)) GROUP BY ALL"""
+    f"""WITH {OPS}, r AS (SELECT user_id AS u, max(c0) AS m0, max(c1) AS m1, max(c2) AS m2 FROM cl WHERE event_type = 'error' AND replica = 0 GROUP BY user_id)
+    SELECT a.user_id % 4 AS key, a.user_id::VARCHAR AS map_key, count(*) AS value FROM cl a LEFT JOIN r ON a.user_id = r.u
+    WHERE NOT (a.event_type = 'error' AND a.replica = 0) AND (r.u IS NULL OR (a.c0 >= r.m0 AND a.c1 >= r.m1 AND a.c2 >= r.m2)) GROUP BY ALL"""
 )
 def rrmap_remove_wins(t):
     left = sets.remove_wins(log.entries(t("events")), KEY).withColumn("op", F.lit("inc"))
@@ -176,9 +195,9 @@ def topk_(t):
     return topk.topk(log.scores(t("events")), KEY, 10).select("id", "score")
 
 
-@query("SELECT id, score FROM (SELECT *, rank() OVER (ORDER BY score DESC) AS p FROM (SELECT user_id AS id, max(floor(value)::BIGINT) AS score FROM events WHERE event_type <> 'error' GROUP BY user_id)) WHERE p <= 5")
+@query("SELECT id, score FROM (SELECT *, rank() OVER (ORDER BY score DESC) AS p FROM (SELECT user_id AS id, max(floor(value / 10)::BIGINT) AS score FROM events WHERE event_type <> 'error' GROUP BY user_id)) WHERE p <= 5")
 def topk_ties(t):
-    return topk.topk(log.scores(t("events")).withColumn("score", F.floor(F.col("score") / 100)), KEY, 5).select("id", "score")
+    return topk.topk(log.scores(t("events")).withColumn("score", F.floor(F.col("score") / 1000)), KEY, 5).select("id", "score")
 
 
 @query(f"SELECT id, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS p FROM ({BEST})) WHERE p <= 3")
@@ -219,15 +238,8 @@ def topsum_suppliers(t):
     return topk.topsum(ops, KEY, 20).select("id", "score")
 
 
-@query(f"WITH b AS ({TOPSUM}) SELECT user_id AS id, floor(value * 100)::BIGINT AS score, floor(value * 100)::BIGINT >= (SELECT min(score) FROM b) OR (SELECT count(*) FROM b) < 10 AS replicate FROM events WHERE event_id < 50")
-def topk_replicate(t):
-    board = topk.topsum(log.running_sums(t("events")), KEY, 10)
-    few = log.running_sums(t("events").where("event_id < 50"))
-    return topk.with_threshold(board, few, KEY, 10).select("id", "score", "replicate")
-
-
 @query(f"WITH b AS ({TOPSUM}) SELECT user_id AS id, floor(value * 100)::BIGINT AS score, floor(value * 100)::BIGINT >= (SELECT min(score) FROM b) OR (SELECT count(*) FROM b) < 10 AS replicate FROM events")
-def topk_replicate_all(t):
+def topk_replicate(t):
     ops = log.running_sums(t("events"))
     return topk.with_threshold(topk.topsum(ops, KEY, 10), ops, KEY, 10).select("id", "score", "replicate")
 
@@ -264,7 +276,12 @@ def array_except_range(t):
     return _hours(t).select("key", arrays.except_ranges(F.col("counts"), [1, 3, 6, 8]).alias("value"))
 
 
-@query(None)
+@query(
+    """WITH o AS (SELECT event_type AS k, event_id AS e, hour(ts) AS pos, event_id % 97 = 0 AS every FROM events),
+    p AS (SELECT k, unnest(range(max(pos) + 1)) AS p FROM o WHERE NOT every GROUP BY k),
+    b AS (SELECT p.k, p.p, min(o.e) AS born, count(*) FILTER (o.pos = p.p) AS own FROM p JOIN o ON o.k = p.k AND NOT o.every AND o.pos >= p.p GROUP BY ALL)
+    SELECT k AS key, list(own + (SELECT count(*) FROM o WHERE o.k = b.k AND o.every AND o.e > b.born) ORDER BY p) AS counts FROM b GROUP BY k"""
+)
 def counter_array_all(t):
     """Operations on all positions, in order."""
     ops = log.hours(t("events")).withColumn("op", F.when(F.col("event_id") % 97 == 0, "inc_all").otherwise("inc"))
@@ -288,9 +305,15 @@ def _rows(t):
 LKEY = "l_orderkey || '_' || l_partkey || '_' || l_suppkey || '_' || l_linenumber AS key"
 
 
-@query(f"SELECT {LKEY}, l_suppkey AS ints, l_extendedprice AS floats FROM lineitem")
+@query(f"SELECT {LKEY}, l_suppkey AS ints, l_extendedprice AS floats, 0::BIGINT AS sums, '' AS data FROM lineitem")
 def multi_pos(t):
-    return _rows(t).position(ints=2, floats=1)
+    """Two positions that there are, two beyond the end."""
+    return _rows(t).position(ints=2, floats=1, sums=7, data=2).withColumn("data", F.decode("data", "UTF-8"))
+
+
+@query(f"SELECT {LKEY}, [l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT] AS ints, [l_quantity::BIGINT] AS sums FROM lineitem")
+def multi_full(t):
+    return _rows(t).full("ints", "sums")
 
 
 @query(f"SELECT {LKEY}, [l_partkey, l_suppkey] AS ints, [l_discount, l_tax] AS floats FROM lineitem")
@@ -298,9 +321,9 @@ def multi_range(t):
     return _rows(t).range(ints=(1, 3), floats=(2, 9))
 
 
-@query(f"SELECT {LKEY}, [l_linenumber::BIGINT, l_orderkey] AS ints FROM lineitem")
+@query(f"SELECT {LKEY}, [l_linenumber::BIGINT, l_orderkey, 0] AS ints FROM lineitem")
 def multi_sub(t):
-    return _rows(t).sub(ints=[3, 0])
+    return _rows(t).sub(ints=[3, 0, 9])
 
 
 @query(f"SELECT {LKEY}, [l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT] AS ints, [l_extendedprice, l_discount] AS floats, [l_linenumber::BIGINT, l_partkey] AS swapped FROM lineitem")
@@ -345,6 +368,34 @@ def multi_updates(t):
     return out.select("key", "ints", F.transform("floats", lambda x: F.round(x, 2)).alias("floats"), F.decode(F.element_at("data", -1), "UTF-8").alias("last"))
 
 
+@query(
+    """WITH p AS (SELECT user_id AS key, unnest(range(event_id % 3 + 1)) AS pos FROM events UNION ALL SELECT user_id, unnest([0, 4]) FROM events WHERE event_type = 'view'),
+    n AS (SELECT key, pos, count(*) AS n FROM p GROUP BY ALL)
+    SELECT k.key, list(coalesce(n.n, 0) + CASE WHEN q.pos < 2 THEN 10 * (q.pos + 1) ELSE 0 END ORDER BY q.pos) AS ints
+    FROM (SELECT key, greatest(max(pos), 5) AS top FROM n GROUP BY key) k JOIN (SELECT unnest(range(6)) AS pos) q ON q.pos <= k.top LEFT JOIN n ON n.key = k.key AND n.pos = q.pos GROUP BY k.key"""
+)
+def multi_spread(t):
+    """Whole rows to begin with, ranges and lists of positions incremented, a size set."""
+    e = t("events").select(F.col("user_id").alias("key"), "event_id", "event_type", F.col("event_id").alias("ts"), F.lit(0).cast("smallint").alias("replica"))
+    none = lambda k: F.lit(None).cast(k)
+    ops = e.select("key", "ts", "replica", F.lit("inc_int").alias("op"), none("string").alias("elem"), none("double").alias("dbl_val"), none("bigint").alias("n_adds"), none("binary").alias("bin_val"), "event_id", "event_type")
+    one = F.array(F.lit(1).cast("bigint"))
+    ranges = arrays.spread(ops, F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int")), one)
+    some = arrays.spread(ops.where("event_type = 'view'"), F.array(F.lit(0), F.lit(4)), F.array_repeat(F.lit(1).cast("bigint"), 2))
+    keys = e.groupBy("key").agg(F.min("ts").alias("ts")).withColumn("replica", F.lit(0).cast("smallint"))
+    first = arrays.initial(keys.withColumns({"ints": F.array(F.lit(10).cast("bigint"), F.lit(20).cast("bigint")), "floats": none("array<double>"), "data": none("array<binary>"), "sums": none("array<bigint>"), "counts": none("array<bigint>")}), KEY)
+    sizes = keys.select("key", "ts", "replica", F.lit("set_size").alias("op"), F.lit("ints").alias("elem"), F.lit(6).alias("pos"), none("bigint").alias("long_val"), none("double").alias("dbl_val"), none("bigint").alias("n_adds"), none("binary").alias("bin_val"))
+    drop = lambda x: x.drop("event_id", "event_type")
+    return arrays.multi_array(drop(ranges).unionByName(drop(some)).unionByName(first).unionByName(sizes), KEY).select("key", "ints")
+
+
+@query("SELECT user_id % 8 AS key, event_type AS map_key, arg_max(event_id::VARCHAR, event_id) AS value FROM events GROUP BY ALL")
+def gmap(t):
+    """A map that only grows: its removes do nothing."""
+    ops = t("events").select((F.col("user_id") % 8).alias("key"), F.col("event_type").alias("map_key"), F.lit("add").alias("op"), F.col("event_id").cast("string").alias("elem"), F.col("event_id").alias("ts"), F.lit(0).alias("replica"))
+    return sets.grow_only_map(ops.unionByName(ops.withColumn("op", F.lit("rem"))), KEY)
+
+
 PAIRS = f"WITH {OPS}, x AS (SELECT a.event_id, a.c0 AS a0, a.c1 AS a1, a.c2 AS a2, b.c0 AS b0, b.c1 AS b1, b.c2 AS b2 FROM cl a JOIN cl b ON b.event_id = a.event_id + 4)"
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.model import row_key
 from tidefold.plans.catalog import Catalog, Declared
+from tidefold.plans import views
 from tidefold.plans.tables import All, Anything, Compare, Table, Variable, aggregate_states
 from tidefold.queries.base import query
 from tidefold.sources import tables as src
+from tidefold.sources.scratch import scratch
 
 CUST, ORD = ("c_custkey",), ("o_orderkey",)
 
@@ -113,9 +118,29 @@ def cond_map_and(t):
     return _ord(t).where(All((Compare("o_orderstatus", "eq", "O"), Compare("o_totalprice", "gt", 200000.0), Anything("o_custkey"))))
 
 
-@query("SELECT c_custkey FROM customer WHERE false")
+def _counted(named):
+    return reduce(DataFrame.unionByName, [rows.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, rows in named.items()])
+
+
+@query(
+    """SELECT 'string > 5' AS name, 0::BIGINT AS n UNION ALL SELECT 'string > text', 0 UNION ALL SELECT 'number = text', 0 UNION ALL SELECT 'number = true', 0
+    UNION ALL SELECT 'string = text', count(*) FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'number > 5', count(*) FROM customer WHERE c_acctbal > 5"""
+)
 def cond_type_mismatch(t):
-    return _cust(t).where(Compare("c_name", "gt", 5), ["c_custkey"])
+    """A value of another kind, or a comparison that a kind hasn't, finds nothing; the same with the right kind does."""
+    cust = _cust(t)
+    return _counted({name: cust.where(Compare(*test)) for name, test in {
+        "string > 5": ("c_mktsegment", "gt", 5), "string > text": ("c_mktsegment", "gt", "BUILDING"), "number = text": ("c_acctbal", "eq", "5"), "number = true": ("c_acctbal", "eq", True),
+        "string = text": ("c_mktsegment", "eq", "BUILDING"), "number > 5": ("c_acctbal", "gt", 5)}.items()})
+
+
+SYMBOLS = {"eq": "=", "neq": "<>", "lt": "<", "leq": "<=", "gt": ">", "geq": ">="}
+CASES = [("orders", "o_custkey", 100, op) for op in SYMBOLS] + [("lineitem", "l_discount", 0.05, op) for op in SYMBOLS] + [("customer", "c_mktsegment", "BUILDING", op) for op in ("eq", "neq")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{f} {op}' AS name, count(*) AS n FROM {table} WHERE {f} {SYMBOLS[op]} {v!r}" for table, f, v, op in CASES))
+def cond_all_operators(t):
+    return _counted({f"{f} {op}": Table(t(table), ()).where(Compare(f, op, v)) for table, f, v, op in CASES})
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000")
@@ -206,6 +231,29 @@ def region_load(spark, path):
     return src.with_region(spark, path, "customer").select("c_custkey", "region")
 
 
+@_path("replicated_load", "SELECT region, loader, count(*) AS n, sum(p_size)::BIGINT AS sizes FROM (SELECT *, list_extract((SELECT list(r_name ORDER BY r_name) FROM region), (p_partkey % 5 + 1)::INT) AS loader FROM part), (SELECT r_name AS region FROM region) GROUP BY ALL")
+def replicated_load(spark, path):
+    """Every region holds the whole table, each slice of it loaded by one region for all."""
+    return src.everywhere(spark, path).groupBy("region", "loader").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").cast("bigint").alias("sizes"))
+
+
+@_path("regional_save", f"SELECT c_custkey, c_name FROM customer JOIN ({REGIONS}) ON c_nationkey = n_nationkey WHERE r_name = (SELECT min(r_name) FROM region)")
+def regional_save(spark, path):
+    """Customers saved by region, and one region's folder read."""
+    at = scratch(spark, "regional")
+    src.save_regional(src.with_region(spark, path, "customer"), at)
+    first = src.load(spark, path, "region").agg(F.min("r_name")).collect()[0][0]
+    return spark.read.parquet(at).where(F.col("region") == first).select("c_custkey", "c_name")
+
+
+@_path("view_saved", "SELECT l_returnflag, sum(l_quantity) AS sum_qty, count(*) AS n, max(l_quantity) AS max_qty, round(avg(l_quantity), 6) AS avg_qty FROM lineitem GROUP BY 1")
+def view_saved(spark, path):
+    """The regions' local views, saved by region, loaded again and merged to the global one."""
+    at = scratch(spark, "view")
+    local = src.save_view(views.local_parts(views.reader(spark, path)), at, ["r_name"])
+    return views.merged_parts(local)
+
+
 @_path(
     "multi_region_load",
     f"""WITH n AS ({REGIONS}), x AS (

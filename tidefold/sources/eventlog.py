@@ -57,9 +57,9 @@ def overwrites(events: DataFrame) -> DataFrame:
 
 
 def entries(events: DataFrame) -> DataFrame:
-    """key = user % 4, map_key = user; an error removes the entry, all else updates it by 1."""
+    """key = user % 4, map_key = user; an error at replica 0 removes the entry, all else updates it by 1."""
     rows = operations(events)
-    op = F.when(F.col("event_type") == "error", "rem").otherwise("upd")
+    op = F.when((F.col("event_type") == "error") & (F.col("replica") == 0), "rem").otherwise("upd")
     return rows.select((F.col("user_id") % 4).alias("key"), F.col("user_id").cast("string").alias("map_key"), op.alias("op"), F.lit(1).cast("bigint").alias("long_val"), "clk", "replica", F.col("op_ts").alias("ts"))
 
 
@@ -93,7 +93,7 @@ def hours(events: DataFrame) -> DataFrame:
 
 
 def rights(events: DataFrame) -> DataFrame:
-    """key = user; purchases and errors take, signups pass rights on, all else gives."""
+    """key = user; purchases and errors take, signups pass rights on, every eleventh operation asks for rights, all else gives."""
     rows = operations(events)
-    op = F.when(F.col("event_type").isin("purchase", "error"), "dec").when(F.col("event_type") == "signup", "transfer").otherwise("inc")
+    op = F.when(F.col("event_id") % 11 == 0, "rebalance").when(F.col("event_type").isin("purchase", "error"), "dec").when(F.col("event_type") == "signup", "transfer").otherwise("inc")
     return rows.select(F.col("user_id").alias("key"), op.alias("op"), (F.floor("value").cast("bigint") + 1).alias("long_val"), F.lit(0).cast("bigint").alias("n_adds"), ((F.col("event_id") + 1) % 3).alias("id"), "replica", "event_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidefold.model import OPS, row_key, shaped
+from tidefold.sources.scratch import delete
 
 #: The column names and types of the standard `.tbl` files, in their order; `#` marks the primary key.
 TBL = {
@@ -62,6 +63,14 @@ def with_region(spark: SparkSession, path: str, name: str) -> DataFrame:
     return load(spark, path, name).join(n, F.col(of) == F.col("n_nationkey")).drop("n_nationkey")
 
 
+def everywhere(spark: SparkSession, path: str, name: str = "part") -> DataFrame:
+    """A table that every region's server holds: a row for each region, with `loader`, the region whose server loads its slice for all."""
+    regions = load(spark, path, "region", ["r_name"]).orderBy("r_name").collect()  # a region a row, fixed
+    names = F.array(*[F.lit(r["r_name"]) for r in regions])
+    key = F.col(primary_key(name)[0])
+    return load(spark, path, name).withColumn("loader", F.get(names, F.pmod(key, F.lit(len(regions))).cast("int"))).withColumn("region", F.explode(names))
+
+
 def lines_by_region(spark: SparkSession, path: str) -> DataFrame:
     """lineitem with `region`, once for the order's region and once more for the supplier's if that is another."""
     orders = with_region(spark, path, "orders").select("o_orderkey", F.col("region").alias("__o"))
@@ -109,8 +118,7 @@ def reset(spark: SparkSession, path: str, views: list[str] = ()) -> None:
     """Drops views and empties a log's folder."""
     for v in views:
         spark.catalog.dropTempView(v)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    delete(spark, path)
 
 
 @dataclass
