@@ -137,6 +137,9 @@ TEMPLATES: dict[str, str] = {
 #: The least Dice coefficient of a match.
 THRESHOLD = 0.8
 
+#: Bigrams of all templates that are broadcast, some 30 bytes each; with more of them, texts' bigrams are shuffled.
+BROADCAST_GRAMS = 1_000_000
+
 
 def normalised(text: Column) -> Column:
     """Lower case, everything but letters and digits to single spaces."""
@@ -164,20 +167,25 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
     or ends within a line is judged with the rest of that line.
 
     A text is normalised and cut into bigrams once; one of a single line that is too short or too long for every template by the size
-    bounds isn't cut at all. Templates are few and given by the caller, so they are broadcast; no document's bigrams are shuffled but
-    those that a template shares. Null and empty texts match nothing; rows equal in id and text are one; ids that repeat are reported
+    bounds isn't cut at all. Templates are given by the caller and, up to BROADCAST_GRAMS bigrams, broadcast; then no document's bigrams are
+    shuffled but those that a template shares. Null and empty texts match nothing; rows equal in id and text are one; ids that repeat are reported
     together; a very long text costs as much a word as a short one; an empty table gives an empty table. Other columns of `docs`, whatever
     their names, aren't read.
     """
     spark = docs.sparkSession
-    given = [(k, t) for k, t in (templates or TEMPLATES).items()]
-    cards = spark.createDataFrame(given, "template string, __t string").withColumn("__w", F.split(normalised(F.col("__t")), " "))
+    given = [(c, k, t) for c, (k, t) in enumerate((templates or TEMPLATES).items())]
+    cards = spark.createDataFrame(given, "__c int, template string, __t string").withColumn("__w", F.split(normalised(F.col("__t")), " "))
     cards = cards.where(F.size("__w") > 1).withColumn("__size", F.size("__w") - 1)
     sizes = [r[0] for r in cards.select("__size").distinct().collect()]
     ranges = [bounds(s, threshold) for s in sizes] or [(1, 0)]
     bound = spark.createDataFrame([(s, *bounds(s, threshold)) for s in sizes], "__size int, __lo int, __hi int")
-    grams = cards.join(F.broadcast(bound), "__size").select("template", "__size", "__lo", "__hi", F.explode(F.sequence(F.lit(1), F.col("__size"))).alias("__i"), "__w")
-    grams = grams.groupBy("template", "__size", "__lo", "__hi", F.xxhash64(F.get("__w", F.col("__i") - 1), F.get("__w", F.col("__i"))).alias("__g")).agg(F.count(F.lit(1)).alias("__of"))
+    cards = cards.join(F.broadcast(bound), "__size")
+    kinds = cards.select("__c", "template", "__size", "__lo", "__hi")
+    grams = cards.select("__c", "__size", F.explode(F.sequence(F.lit(1), F.col("__size"))).alias("__i"), "__w")
+    grams = grams.groupBy("__c", "__size", F.xxhash64(F.get("__w", F.col("__i") - 1), F.get("__w", F.col("__i"))).alias("__g")).agg(F.count(F.lit(1)).cast("int").alias("__of"))
+    few = (cards.agg(F.sum("__size")).collect()[0][0] or 0) <= BROADCAST_GRAMS
+    small = F.broadcast if few else lambda df: df
+    counts = small(grams.select("__c", "__g", "__of"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("__u")).where(F.length("__u") >= 2 * min(lo for lo, _ in ranges) + 1)  # words are parted by one character at least
     rows = rows.select("doc_id", F.xxhash64("__u").alias("__th"), F.contains("__u", F.lit("\n")).alias("__long"), F.split(normalised(F.col("__u")), " ").alias("__w")).withColumn("__n", F.size("__w") - 1)
@@ -188,29 +196,33 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
     pairs = rows.select("*", F.explode_outer(F.when(fits & (F.col("__n") > 0), F.sequence(F.lit(0), F.col("__n") - 1))).alias("__p"))
     pairs = pairs.select("doc_id", "__th", "__long", "__n", "__p", F.xxhash64(F.get("__w", F.col("__p")), F.get("__w", F.col("__p") + 1)).alias("__g"))
     near = (F.lit(threshold) * (F.col("__n") + F.col("__size"))) <= 2 * F.least("__n", "__size")
-    hits = written(pairs.join(F.broadcast(grams), "__g").where(near | F.col("__long")).distinct(), "hits")
+    hits = pairs.join(small(grams.drop("__of")), "__g").where(near | F.col("__long"))
+    hits = written(hits.select("doc_id", "__th", "__long", "__n", "__c", "__g", "__p").distinct(), "hits")
     # A text of one line is one run.
-    counted = hits.where(~F.col("__long")).groupBy("doc_id", "__th", "template", "__n", "__size", "__g", "__of").agg(F.count(F.lit(1)).alias("__c"))
-    scored = counted.groupBy("doc_id", "__th", "template", "__n", "__size").agg(F.sum(F.least("__c", "__of")).alias("__both"))
+    counted = hits.where(~F.col("__long")).groupBy("doc_id", "__th", "__n", "__c", "__g").agg(F.count(F.lit(1)).alias("__k")).join(counts, ["__c", "__g"])
+    scored = counted.groupBy("doc_id", "__th", "__n", "__c").agg(F.sum(F.least("__k", "__of")).alias("__both")).join(F.broadcast(kinds), "__c")
     scored = scored.withColumn("dice", 2 * F.col("__both") / (F.col("__n") + F.col("__size"))).where(F.col("dice") >= threshold)
     scored = scored.groupBy("doc_id", "__th").agg(F.min(F.struct((-F.col("dice")).alias("d"), "template")).alias("b")).select("doc_id", "b.template", (-F.col("b.d")).alias("dice"), F.lit(1).alias("n_passages"))
-    both = scored.unionByName(_runs(docs, hits, id_col, text_col, threshold))
+    both = scored.unionByName(_runs(docs, hits, kinds, counts, id_col, text_col, threshold))
     return both.groupBy("doc_id", "template").agg(F.round(F.max("dice"), 6).alias("dice"), F.sum("n_passages").alias("n_passages"))
 
 
-def _runs(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+def _runs(docs: DataFrame, hits: DataFrame, kinds: DataFrame, counts: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """doc_id, template, dice (the best), n_passages of texts of several lines.
 
     A run that matches has `__hi` bigrams at most and shares `__lo` at least. Places in a text are parted into cells of `__hi`;
     a run that starts in a cell ends in the next one at the latest, so two cells that share too few bigrams hold none.
     """
-    of = ["doc_id", "__th", "template", "__size", "__lo", "__hi"]
-    rows = hits.where("__long").select(*of, "__g", "__of", "__p")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # Dealt out by text, which serves both aggregates.
+    rows = hits.where("__long").select("doc_id", "__th", "__c", "__g", "__p").repartition(parts, "doc_id", "__th").join(F.broadcast(kinds.select("__c", "__hi")), "__c")
     cell = F.floor(F.col("__p") / F.col("__hi"))
-    rows = rows.select("*", F.explode(F.array(cell, cell - 1)).alias("__cell")).where("__cell >= 0")
-    by_gram = rows.groupBy(*of, "__cell", "__g", "__of").agg(F.sort_array(F.collect_list("__p")).alias("ps"))
-    rich = by_gram.groupBy(*of, "__cell").agg(F.sum(F.least(F.size("ps"), F.col("__of"))).alias("__most"), F.collect_list(F.struct("ps", F.col("__of").cast("int").alias("of"))).alias("__grams")).where("__most >= __lo")
-    rich = written(rich.drop("__most"), "rich")
+    rows = rows.select("doc_id", "__th", "__c", "__g", "__p", F.explode(F.array(cell, cell - 1)).alias("__cell")).where("__cell >= 0")
+    by_gram = rows.groupBy("doc_id", "__th", "__c", "__cell", "__g").agg(F.sort_array(F.collect_list("__p")).alias("ps")).join(counts, ["__c", "__g"])
+    rich = by_gram.groupBy("doc_id", "__th", "__c", "__cell").agg(F.sum(F.least(F.size("ps"), F.col("__of"))).alias("__most"), F.collect_list(F.struct("ps", F.col("__of").alias("of"))).alias("__grams"))
+    rich = rich.join(F.broadcast(kinds), "__c").where("__most >= __lo")
+    of = ["doc_id", "__th", "template", "__size", "__lo", "__hi"]
+    rich = written(rich.select(*of, "__cell", "__grams"), "rich")
 
     # Of the texts that are left, the lines that have words: the places of their first and last.
     text = F.coalesce(F.col(text_col), F.lit(""))
