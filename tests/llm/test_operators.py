@@ -151,7 +151,9 @@ def found_licenses(text):
     return out
 
 
-def test_licenses_equal_brute_force(spark, docs, empty):
+@pytest.mark.parametrize("most", [licenses.BROADCAST_GRAMS, 0])
+def test_licenses_equal_brute_force(spark, docs, empty, monkeypatch, most):
+    monkeypatch.setattr(licenses, "BROADCAST_GRAMS", most)
     mit = licenses.TEMPLATES["MIT"]
     texts = {1: mit, 2: mit.replace("Software", "Program"), 3: "intro\nReleased under the MIT License\nend", 4: None, 5: "", 6: "MIT\n\n" + mit[:400] + "\n" + mit[400:], 7: "nothing to see here at all", 8: mit + " " + mit}
     texts |= {20 + k: x for k, x in enumerate(licenses.TEMPLATES.values())}
