@@ -671,7 +671,27 @@ def test_components_of_chains_and_stars(spark):
     assert components.roots(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_minhash_groups_equal_brute_force(spark, docs, empty):
+def test_many_copies_of_one_text_leave_nothing_to_hold(spark):
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(200)]
+    texts = [(k, " ".join([*base[: k % 190], f"x{k}", *base[k % 190 + 1 :]])) for k in range(120)]
+    rows = [(d, minhash.shingles(t.encode())) for d, t in texts]
+    sets = spark.createDataFrame([(minhash.node(x), bytearray(x.tobytes())) for _, x in rows], "node long, set binary")
+    met = sets.select(F.lit(5).cast("long").alias("key"), "node")
+    left, links = minhash._thinned(met, sets, 80)
+    assert left.count() == 0 and links.count() == 119
+    chain = [base]
+    for _ in range(12):  # each near the one before, the last far from the first
+        chain.append(list(chain[-1]))
+        for _ in range(2):
+            chain[-1][rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+    ends = minhash.clustered(spark.createDataFrame([*texts, *((1000 + k, " ".join(c)) for k, c in enumerate(chain))], "doc_id long, text string"))
+    assert {r["component_id"] for r in ends.collect()} == {0}
+
+
+@pytest.mark.parametrize("hot", [minhash.HOT, 1])
+def test_minhash_groups_equal_brute_force(spark, docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(minhash, "HOT", hot)  # so that keys are thinned
     rng = random.Random(11)
     rows = [(r[0], r[1]) for r in sample() if r[0] is not None]
     for g in range(40):

@@ -59,6 +59,20 @@ def test_documents_are_told_apart_by_id_and_text(spark):
     assert sorted(got(corpus_pipeline.decontamination, leak), key=by) == sorted([(None, text("b")), (7, text("d"))], key=by)
 
 
+@pytest.mark.skipif(not os.path.isdir(PATH), reason="no tables here")
+def test_stages_on_empty_and_null_rows(spark):
+    text = " ".join(f"word{k}" for k in range(80))
+    none, nulls = spark.createDataFrame([], SCHEMA), spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (None, text, None, None, None), (None, text, None, None, None), (2, "", "en", "s", 0)], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, PATH).count() == 0, name
+        out = stage(spark, nulls, PATH)
+        rows = out.collect()
+        if name == "packing":
+            assert len(rows) == 5 and sum(r["length"] for r in rows if r["doc_tokens"] > 1) == 2 * max(r["doc_tokens"] for r in rows)
+        else:
+            assert out.dtypes == none.dtypes and [r["text"] for r in rows].count(text) == (1 if name == "near_dedup" else 2), name
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     if not os.path.isdir(PATH):
