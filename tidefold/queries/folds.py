@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidefold.functions import clocks, values
+from tidefold.functions import clocks, tags, values
 from tidefold.operators import arrays, counters, ordered, sets, topk
 from tidefold.plans.transactions import Transaction, as_of, read_objects
 from tidefold.queries.base import query
@@ -465,6 +465,20 @@ def read_your_writes(t):
     return txn.read(lambda x: counters.counter(x, KEY))
 
 
+@query(
+    """WITH g AS (SELECT user_id AS key, list(DISTINCT event_id) FILTER (event_type <> 'error') AS held, list(DISTINCT event_id - 3) FILTER (event_type = 'view') AS seen FROM events GROUP BY user_id),
+    s AS (SELECT key, coalesce(held, []) AS held, coalesce(seen, []) AS seen FROM g)
+    SELECT key, len(list_distinct(list_concat(held, [-1::BIGINT])))::INT AS added, len(list_distinct(list_concat(held, seen)))::INT AS n_all,
+      len(list_filter(held, lambda x: NOT list_contains(seen, x)))::INT AS n_left, list_sort(list_filter(held, lambda x: list_contains(seen, x))) AS gone FROM s"""
+)
+def tag_sets(t):
+    """A user's tags of additions, and those that views have observed."""
+    e = t("events")
+    both = e.groupBy(F.col("user_id").alias("key")).agg(F.collect_set(F.when(F.col("event_type") != "error", F.col("event_id"))).alias("held"), F.collect_set(F.when(F.col("event_type") == "view", F.col("event_id") - 3)).alias("seen"))
+    left, gone = tags.taken(F.col("held"), F.col("seen"))
+    return both.select("key", F.size(tags.with_tag(F.col("held"), F.lit(-1).cast("bigint"))).alias("added"), F.size(tags.with_all(F.col("held"), F.col("seen"))).alias("n_all"), F.size(left).alias("n_left"), F.sort_array(gone).alias("gone"))
+
+
 @query("SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS n FROM events")
 def register_number(t):
     return t("events").select("event_id", values.number(F.regexp_extract("props", "[0-9]+", 0)).alias("n"))
