@@ -689,7 +689,25 @@ def test_many_copies_of_one_text_leave_nothing_to_hold(spark):
     assert {r["component_id"] for r in ends.collect()} == {0}
 
 
-@pytest.mark.parametrize("hot", [minhash.HOT, 1])
+def test_texts_of_one_template_part_by_rare_shingles(spark):
+    rng = random.Random(17)
+    form = [f"w{k}" for k in range(150)]
+    texts = [form + [f"d{k}n{j}" for j in range(60)] for k in range(50)]
+    texts += [[*t[:205], f"late{k}", *t[206:]] for k, t in enumerate(texts[:10])]  # a near copy of each of the first ten
+    rng.shuffle(texts)
+    found = [minhash.shingles(" ".join(t).encode()) for t in texts]
+    known = spark.createDataFrame([(minhash.node(x), bytearray(x.tobytes())) for x in found], "node long, set binary")
+    near = {frozenset(minhash.node(found[k]) for k in p) for p in itertools.combinations(range(60), 2) if (both := len(np.intersect1d(found[p[0]], found[p[1]]))) * 180 >= 80 * (len(found[p[0]]) + len(found[p[1]]))}
+    assert len(near) == 10
+    met = minhash._met(known.select(F.lit(5).cast("long").alias("key"), "node"))
+    assert {r["n"] for r in met.collect()} == {60}
+    groups = defaultdict(set)
+    for r in minhash._met(minhash._parted(met, known, 80)).collect():
+        groups[r["key"]].add(r["node"])
+    assert set(map(frozenset, groups.values())) == near and len(groups) == 10
+
+
+@pytest.mark.parametrize("hot", [minhash.HOT, 8, 1])
 def test_minhash_groups_equal_brute_force(spark, docs, empty, monkeypatch, hot):
     monkeypatch.setattr(minhash, "HOT", hot)  # so that keys are thinned
     rng = random.Random(11)
