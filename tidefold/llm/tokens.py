@@ -243,3 +243,4 @@ def batches(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         last = max(first + 1, int(np.searchsorted(ends, past + BATCH_BYTES, side="right")))
         yield first, pc.fill_null(texts.slice(first, last - first), "")
         first = last
+    pa.default_memory_pool().release_unused()  # a worker waits for its next task beside others' work
