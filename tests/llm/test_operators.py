@@ -745,3 +745,45 @@ def test_minhash_groups_equal_brute_force(spark, docs, empty, monkeypatch, hot):
     out = minhash.clustered(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert Counter(map(tuple, out.select("doc_id", "component_id").collect())) == Counter((d, want[root(i)]) for i, (d, _) in enumerate(rows))
     assert minhash.clustered(empty).count() == 0
+
+
+def similar(a, b):
+    both = len(np.intersect1d(a, b))
+    return both / (len(a) + len(b) - both)
+
+
+@pytest.mark.parametrize("hot", [minhash.HOT, 4])
+def test_near_copies_go_by_fingerprints_and_an_exact_check(spark, docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(minhash, "HOT", hot)  # so that a component goes by bands
+    rng = random.Random(23)
+    sets = lambda t: minhash.shingles(t.encode())
+    apart = lambda a, b: (simhash.print_of(sets(a)) ^ simhash.print_of(sets(b))).bit_count()
+
+    def edited(words, n):
+        out = list(words)
+        for k in rng.sample(range(len(out)), n):
+            out[k] = f"new{rng.randrange(10**6)}"
+        return " ".join(out)
+
+    def pair(n, fits):
+        while True:
+            words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+            base = " ".join(words)
+            for _ in range(40):
+                if fits(base, other := edited(words, n)):
+                    return base, other
+
+    near = pair(1, lambda a, b: apart(a, b) <= 4 and similar(sets(a), sets(b)) >= 0.8)
+    alike = pair(6, lambda a, b: apart(a, b) <= 4 and similar(sets(a), sets(b)) < 0.8)  # by its fingerprint only
+    wide = pair(4, lambda a, b: apart(a, b) > 6 and similar(sets(a), sets(b)) >= 0.8)  # not by its fingerprint
+    words = [f"v{k}" for k in range(300)]
+    many = [edited(words, 1) for _ in range(8)]
+    texts = [*near, *alike, *wide, *many, near[0].upper(), "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4, **dict.fromkeys(range(6, 14), 6), 14: 0, 15: 15, 16: 15}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()} == want
+    assert simhash.near_copies(empty).count() == 0
+    monkeypatch.setattr(minhash, "bands", lambda found: np.zeros(0, np.int64))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()}
+    assert got[1] == 0 and got[14] == 0 and got[3] == 3 and got[5] == 5
+    assert hot < 8 or {got[k] for k in range(6, 14)} == {6}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,8 +98,13 @@ def forest(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, in
 
 
 def _met(spread: DataFrame) -> DataFrame:
-    """Of distinct (key, node): key, node, n of the keys that n > 1 nodes share; keys that the same nodes share are taken once."""
-    several = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Of distinct (key, node): key, node, n of the keys that n > 1 nodes share; keys that the same nodes share are taken once.
+
+    With a column `group`, keys whose nodes are all of one group are left out.
+    """
+    n = F.count(F.lit(1))
+    apart = (F.count("group") < n) | (F.min("group") < F.max("group")) if "group" in spread.columns else F.lit(True)
+    several = spread.groupBy("key").agg(n.alias("n"), apart.alias("apart")).where("n > 1 and apart").select("key", "n")
     shared = written(spread.join(several, "key").select("key", "node", "n"), "shared")
     of = shared.groupBy("key", "n").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
     taken = of.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
@@ -171,7 +176,24 @@ def _held(met: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, Da
     return held.select("key", "node"), links
 
 
-def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def _grouped(nodes: DataFrame, joined: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, group, n: the components of 2 to HOT nodes that `joined` makes of the nodes' fingerprints `fp`."""
+    prints = written(nodes.where("fp is not null").select("fp").distinct(), "prints")
+    root = joined(prints).select(F.col("node").alias("fp"), "root")
+    of = nodes.where("fp is not null").select("node", "fp").join(root, "fp", "left").select("node", F.coalesce("root", "fp").alias("group"))
+    n = of.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= HOT))
+    return written(of.join(n, "group").select("node", "group", "n"), "groups")
+
+
+def clustered(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    percent: int = PERCENT,
+    print_of: Callable[[np.ndarray], int] | None = None,
+    joined: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Per row: doc_id, component_id (the smallest id that links reach, itself included).
 
     Texts with the same set of shingles are one node, so copies of any number cost one row each; nodes whose sets have a
@@ -180,6 +202,9 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Keys that the same nodes share are taken once. A key's sets are held in one task, 8 bytes a shingle; where more than HOT nodes share a
     key, `_held` first takes out those that can link to nothing but copies of the key's first node, and parts the rest by rare shingles.
 
+    With `print_of`, a set's fingerprint, and `joined`, which joins them to components, the nodes of a component of up to HOT are compared
+    first of all, as those of one key; of the bands' keys only those that reach beyond one such component are taken.
+
     Null and empty texts are one node; null ids never name a component that has another id; repeated rows are given each; very long
     texts are read whole; an empty table gives an empty table. Other columns of `docs`, whatever their names, aren't read.
     """
@@ -189,14 +214,16 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, prints, keys = [], [], []
             for t in batch.column(1):
                 found = shingles(t.as_py(), shingle)
                 nodes.append(node(found))
+                prints.append(print_of(found) if print_of and len(found) else None)
                 keys.append(bands(found))
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), lists], names=["doc_id", "node", "keys"])
+            prints = pa.array(prints, pa.uint64()).view(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), prints, lists], names=["doc_id", "node", "fp", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,9 +247,14 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         if (out := links(held)) is not None:
             yield out
 
-    table = written(rows.mapInArrow(signed, f"doc_id {kind}, node long, keys array<long>"), "signed")
-    nodes = written(table.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "nodes")
-    met = written(_met(nodes.select("node", F.explode("keys").alias("key"))), "met")
+    table = written(rows.mapInArrow(signed, f"doc_id {kind}, node long, fp long, keys array<long>"), "signed")
+    nodes = written(table.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    if joined:
+        groups = _grouped(nodes, joined)
+        spread = nodes.select("node", "keys").join(groups.select("node", "group"), "node", "left").select("node", "group", F.explode("keys").alias("key"))
+        met = written(_met(spread).unionByName(groups.select(F.col("group").alias("key"), "node", "n")), "met")
+    else:
+        met = written(_met(nodes.select("node", F.explode("keys").alias("key"))), "met")
     one = written(nodes.join(met.select("node").distinct(), "node").select(F.col("least").alias("__least")), "one")
     there = rows.join(one, F.col("doc_id") == F.col("__least"), "left_semi")
     known = written(there.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "sets")

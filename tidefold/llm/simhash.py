@@ -36,9 +36,25 @@ def fingerprint(text: bytes) -> int:
     digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(starts), AT_ONCE):
         part = [digest(joined[s:e], SEED) for s, e in zip(starts[at : at + AT_ONCE], ends[at : at + AT_ONCE], strict=True)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+        counts += _counts(np.array(part, "<u8"))
+    return _majority(counts, len(starts))
+
+
+def _counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingles, given by their hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        counts += _counts(hashes[at : at + AT_ONCE])
+    return _majority(counts, len(hashes))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -143,6 +159,14 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def joined(prints: DataFrame) -> DataFrame:
+    """Of a written table of distinct fingerprints `fp`: node, root, of those that links within BITS bits join."""
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-61 * prints.count() // TASK_KEYS))
+    spread = prints.select("fp").mapInArrow(_keyed, "key long, fp long")
+    met = spread.repartition(parts, "key").sortWithinPartitions("key")
+    return components.roots(met.mapInArrow(_linked, "a long, b long").distinct())
+
+
 def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest id that links reach, itself included).
 
@@ -154,15 +178,9 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows are given each; very long texts are read whole, some shingles at once; an empty table gives an empty table. Other columns of
     `docs`, whatever their names, aren't read.
     """
-    spark = docs.sparkSession
     table = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    n = nodes.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-61 * n // TASK_KEYS))
-    spread = nodes.select("fp").mapInArrow(_keyed, "key long, fp long")
-    met = spread.repartition(parts, "key").sortWithinPartitions("key")
-    links = met.mapInArrow(_linked, "a long, b long").distinct()
-    root = components.roots(links)
+    root = joined(nodes)
     rooted = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
@@ -172,7 +190,8 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = minhash.SHINGLE, percent: int = minhash.PERCENT) -> DataFrame:
     """Per row: doc_id, component_id, where texts link whose sets of `shingle`-word shingles have a Jaccard similarity of percent / 100.
 
-    Fingerprints of 64 bits can't give that: texts of similarity 0.8 differ in some 10 bits, and keys that meet 10 errors meet
-    unrelated texts as well (the README has figures). So candidates come from bands of the shingles' minima, and links are verified exactly.
+    The sets' fingerprints are joined as op9's are, by Golay indices, within 4 bits; the texts of a component are compared exactly. Fingerprints
+    of 64 bits don't meet all such pairs: at 0.8 they differ in some 10 bits, and keys that meet 10 errors meet unrelated texts as well (the README
+    has figures). So what lies in different components is compared, exactly too, where it shares a band of the shingles' minima.
     """
-    return minhash.clustered(docs, id_col, text_col, shingle, percent)
+    return minhash.clustered(docs, id_col, text_col, shingle, percent, print_of, joined)
