@@ -279,6 +279,20 @@ def test_lines_of_odd_rows(docs, empty):
     assert [r["kept_text"] for r in out.where("doc_id = 50").collect()] == ["two\n"]  # a null id came first with nothing; doc 3 has "one"
 
 
+def test_lines_of_odd_white_space(spark):
+    """Words part at six characters only; a line without runs of them is taken as it is, others by a regular expression."""
+    tail = "c d e f"
+    texts = [f"a b {tail}", f"\ta  b {tail} \r", f"a\x0bb\x0c{tail}", f"a \t b {tail}", f"x\u00a0y z {tail} g", f"x y z {tail} g h", f"x\x1cy z {tail} g k", " \t\x0b", "日  本", "日 本"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in lines._joined(rows, F.col("text"), "c").collect():
+        assert r["c"] == " ".join(split(r["text"]))
+    data = [(k, t, "s") for k, t in enumerate(texts)]
+    gone = removed_lines([((k, 0), tuple(split(t))) for k, t in enumerate(texts) if split(t)])
+    assert {k for k, _ in gone} >= {1, 2, 3, 9}
+    got = {r["doc_id"]: r["n_removed"] for r in lines.deduplicated(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == {k: int((k, 0) in gone) for k in range(len(texts))}
+
+
 # op4 ---------------------------------------------------------------------------------------------------------------
 
 

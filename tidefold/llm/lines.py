@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import SPACE, bucketed, words, written
+from tidefold.llm.common import SPACE, SPACE_RUN, bucketed, written
 
 #: An edit may be a fifth of the longer line at most: of so many units or more. Units are words; characters too where a line has at most so many words.
 MIN_UNITS = 5
@@ -20,14 +20,23 @@ WHOLE, SHORTER, MASKED = 0, 1, 2
 LOW = (1 << 36) - 1
 
 
+def _joined(lines: DataFrame, line: Column, name: str) -> DataFrame:
+    """Adds `name`: the line's words, joined by one space. Most lines are so already, and cost no regular expression."""
+    core, odd = F.col("__core"), F.contains(F.col("__core"), F.lit(2 * SPACE[0]))
+    for s in SPACE[1:]:
+        odd |= F.contains(core, F.lit(s))
+    # Of its own projection, so that it is trimmed once.
+    return lines.withColumn("__core", F.btrim(line, F.lit(SPACE))).withColumn(name, F.when(odd, F.regexp_replace(core, SPACE_RUN, " ")).otherwise(core)).drop("__core")
+
+
 def _halves(part, n: Column, units: int) -> list[Column]:
     """Hashes that a line of `n` units shares with every line one edit away: in two lines, the shorter of L units, either
-    the first L/2 units are equal or the last. `part(begin, length)` gives units; the low three bits say which of the hashes it is."""
+    the first L/2 units are equal or the last. `part(length, last)` gives so many of the first or the last units; the low three bits say which of the hashes it is."""
     out = []
     for k, length, least in ((0, n, MIN_UNITS - 1), (2, n - 1, MIN_UNITS - 1)):
-        half = F.floor(length / 2).cast("int")
-        for side, begin in ((0, F.lit(1)), (1, n - half + 1)):
-            key = F.xxhash64(F.lit(units), length, F.lit(side), part(begin, half)).bitwiseAND(F.lit(-8)).bitwiseOR(F.lit(units + k + side).cast("long"))
+        half = F.shiftright(length, 1)
+        for side in (0, 1):
+            key = F.xxhash64(F.lit(units), length, F.lit(side), part(half, side == 1)).bitwiseAND(F.lit(-8)).bitwiseOR(F.lit(units + k + side).cast("long"))
             out.append(F.when(length >= least, key))
     return out
 
@@ -94,10 +103,13 @@ def _key(doc_id: str, th: str) -> list[Column]:
 def _kept_lines(table: DataFrame, text: Column) -> DataFrame:
     """k1, k2, keep (line numbers) of the lines that stay, of those that have a word; `table` is bucketed by k1, k2."""
     rows = table.select("doc_id", "th", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    rows = rows.where(F.btrim("line", F.lit(SPACE)) != "").withColumn("w", words(F.col("line")))
-    rows = rows.select(F.struct("doc_id", "th", "line_no").alias("at"), "w", F.size("w").alias("n"), F.when(F.size("w") <= MIN_UNITS, F.array_join("w", " ")).alias("c"))
-    halves = _halves(lambda begin, length: F.slice("w", begin, length), F.col("n"), WORDS) + _halves(lambda begin, length: F.substring(F.col("c"), begin, length), F.length("c"), CHARS)
-    rows = rows.select("at", F.xxhash64("w").alias("line"), F.xxhash64(F.lit(1), "w").alias("h2"), F.array_compact(F.array(*halves)).alias("halves"))
+    rows = _joined(rows.where(F.btrim("line", F.lit(SPACE)) != ""), F.col("line"), "c")
+    rows = rows.select(F.struct("doc_id", "th", "line_no").alias("at"), "c", (F.octet_length("c") - F.octet_length(F.replace("c", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    rows = rows.select("at", "c", "n", F.when(F.col("n") <= MIN_UNITS, F.col("c")).alias("short"))
+    some_words = lambda length, last: F.call_function("substring_index", "c", F.lit(" "), -length if last else length)
+    some_chars = lambda length, last: F.substring(F.col("short"), F.length("short") - length + 1 if last else F.lit(1), length)
+    halves = _halves(some_words, F.col("n"), WORDS) + _halves(some_chars, F.length("short"), CHARS)
+    rows = rows.select("at", F.xxhash64("c").alias("line"), F.xxhash64(F.lit(1), "c").alias("h2"), F.array_compact(F.array(*halves)).alias("halves"))
     # Equal lines become one, at their earliest place, before anything else is shuffled.
     one = written(rows.groupBy("line", "h2").agg(F.min("at").alias("at"), F.first("halves").alias("halves")), "lines")
 
@@ -109,7 +121,8 @@ def _kept_lines(table: DataFrame, text: Column) -> DataFrame:
     near = written(near.groupBy(*_key("at.doc_id", "at.th")).agg(F.collect_list(F.struct("at.line_no", "line", "halves")).alias("near")), "near")
 
     found = table.join(near, ["k1", "k2"]).select("doc_id", "th", F.split(text, "\n").alias("__lines"), F.explode("near").alias("x"))
-    found = found.select("x.line", F.struct("doc_id", "th", "x.line_no").alias("at"), "x.halves", words(F.get("__lines", F.col("x.line_no"))).alias("w"))
+    found = _joined(found, F.get("__lines", F.col("x.line_no")), "c")
+    found = found.select("x.line", F.struct("doc_id", "th", "x.line_no").alias("at"), "x.halves", F.split("c", " ").alias("w"))
     near, plain = bucketed(found.dropDuplicates(["line"]), ["line"], "texts")
 
     as_words = _variants(near.withColumn("__n", F.size("w")), "w", "__n", WORDS)
