@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.operators import counters
@@ -11,7 +11,7 @@ from tidefold.queries.base import ORACLE, QUERIES, query
 from tidefold.queries.folds import SIGN
 from tidefold.sources import eventlog as log
 from tidefold.sources.scratch import scratch
-from tidefold.streaming import streams
+from tidefold.streaming import causal, streams
 
 REV = "l_extendedprice * (1 - l_discount)"
 MONEY = f"sum(round({REV}, 4)::DECIMAL(18, 4))::DOUBLE"
@@ -96,10 +96,8 @@ def causal_buffer(spark: SparkSession, path: str):
     at = scratch(spark, "causal")
     sites = F.explode(F.array(*[F.lit(r).cast("smallint") for r in log.REPLICAS]))
     ops = log.operations(_events(spark, path)).select(sites.alias("site"), "event_id", "replica", "op_ts", "clk")
-    got = streams.deliver(ops, "site", "replica", "op_ts", "clk", "site short, event_id long, replica short, op_ts long")
-    got.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{at}/out").start().awaitTermination()
-    before = F.count(F.lit(1)).over(Window.partitionBy("site", "replica").orderBy("seq"))
-    rows = spark.read.parquet(f"{at}/out").withColumn("own", before == F.col("op_ts"))
+    causal.deliver(ops, "site", "replica", "op_ts", "clk", ["site", "event_id", "replica", "op_ts"], f"{at}/state", f"{at}/checkpoint").awaitTermination()
+    rows = causal.places(causal.delivered(ops, f"{at}/state"), ["site", "replica"], ["seq"], "before").withColumn("own", F.col("before") == F.col("op_ts"))
     seen = rows.select("site", F.col("replica").alias("__r"), F.col("op_ts").alias("__t"), F.col("seq").alias("__s"))
     rows = rows.withColumns({"__r": ((F.col("replica") + 1) % 3).cast("smallint"), "__t": F.when(F.col("op_ts") > 2, F.col("op_ts") - 2)}).join(seen, ["site", "__r", "__t"], "left")
     return rows.select("site", "event_id", "replica", "op_ts", (F.col("own") & (F.col("__t").isNull() | (F.col("__s") < F.col("seq")))).alias("in_order"), F.col("__t").isNotNull().alias("waits"))

@@ -1,14 +1,12 @@
-"""Continuous maintenance: op streams into state tables, triggers, causal delivery, windows."""
+"""Continuous maintenance: op streams into state tables, triggers, windows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidefold.functions.values import matches
 from tidefold.sources.scratch import delete
@@ -83,42 +81,6 @@ def with_triggers(partial: Fold, triggers: list[Trigger]) -> Fold:
     return lambda batch: partial(batch.unionByName(fired(batch, triggers)))
 
 
-def deliver(arrivals: DataFrame, by: str, replica: str, ts: str, deps: str, columns: str) -> DataFrame:
-    """Operations of a stream or table as each `by` (a receiving site) may apply them, with `seq`, their place there.
-
-    An operation waits until its replica's earlier ones and all that its clock names have been applied; the queue and the
-    site's clock are the state. `columns` is the DDL of the operation's columns but for the clock.
-    """
-    names = [c.split()[0] for c in columns.split(", ")]
-    schema = f"{columns}, seq long"
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import pickle
-
-        clock, waiting, seq = pickle.loads(state.get[0]) if state.exists else ({}, [], 0)
-        for f in frames:
-            waiting += f.to_dict("records")
-        out, moved = [], True
-        by_source: dict[int, list[dict]] = {}
-        for op in waiting:
-            by_source.setdefault(int(op[replica]), []).append(op)
-        for q in by_source.values():
-            q.sort(key=lambda op: op[ts], reverse=True)
-        while moved:
-            moved = False
-            for r, q in by_source.items():
-                while q and q[-1][ts] == clock.get(r, 0) + 1 and all(clock.get(int(k), 0) >= v for k, v in dict(q[-1][deps]).items() if int(k) != r):
-                    op = q.pop()
-                    clock[r] = op[ts]
-                    seq += 1
-                    out.append([op[c] for c in names] + [seq])
-                    moved = True
-        state.update((pickle.dumps((clock, [op for q in by_source.values() for op in q], seq)),))
-        yield pd.DataFrame(out, columns=[*names, "seq"])
-
-    return arrivals.groupBy(by).applyInPandasWithState(run, schema, "held binary", "append", GroupStateTimeout.NoTimeout)
-
-
 def tumbling(events: DataFrame, ts: str, width: str, by: list[str], *aggregates) -> DataFrame:
     return events.groupBy(F.window(ts, width), *by).agg(*aggregates)
 
